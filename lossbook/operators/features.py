@@ -67,34 +67,43 @@ def income_outside_band(income: Column, band: Column) -> Column:
     return flag(outside)
 
 
-def add_engineered(loans: DataFrame) -> DataFrame:
-    """P10-P22 on a table that has the derived columns. Undefined values become -1."""
-    income, dti = F.col("StatedMonthlyIncome"), F.col("DebtToIncomeRatio")
-    debt = dti * income
+def _engineered(c) -> dict[str, Column]:
+    income = c("StatedMonthlyIncome")
+    debt = c("DebtToIncomeRatio") * income
     left = income - debt
-    payment = reference_payment(F.col("LoanOriginalAmount"), F.col("Term"))
-    repeat = F.col("PriorLoans") > 0
+    payment = reference_payment(c("LoanOriginalAmount"), c("Term"))
+    repeat = c("PriorLoans") > 0
 
-    def known(c: Column) -> Column:
-        return F.coalesce(c, F.lit(V.UNDEFINED))
+    def known(e: Column) -> Column:
+        return F.coalesce(e, F.lit(V.UNDEFINED))
 
     def for_repeat(num: str, den: str) -> Column:
-        return F.when(repeat, ratio(F.col(num), F.col(den), V.UNDEFINED)).otherwise(V.UNDEFINED)
+        return F.when(repeat, ratio(c(num), c(den), V.UNDEFINED)).otherwise(V.UNDEFINED)
 
-    return loans.select("*", *[e.alias(n) for n, e in {
+    return {
         "EstMonthlyDebtObligation": known(debt),
         "DisposableIncome": known(left),
         "ResidualIncome": known(left - payment),
         "ReferencePTI": ratio(payment, income, V.UNDEFINED),
-        "TotalUtilization": _total_utilization(F.col("RevolvingCreditBalance"), F.col("AvailableBankcardCredit")),
-        "OpenToTotalLineRatio": _open_line_share(F.col("OpenCreditLines"), F.col("CurrentCreditLines")),
-        "InquiryVelocity": ratio(F.col("InquiriesLast6Months"), F.col("TotalInquiries") + 1, V.UNDEFINED),
-        "RecentDelinquencyShare": ratio(F.col("CurrentDelinquencies"), F.col("DelinquenciesLast7Years") + 1, V.UNDEFINED),
+        "TotalUtilization": _total_utilization(c("RevolvingCreditBalance"), c("AvailableBankcardCredit")),
+        "OpenToTotalLineRatio": _open_line_share(c("OpenCreditLines"), c("CurrentCreditLines")),
+        "InquiryVelocity": ratio(c("InquiriesLast6Months"), c("TotalInquiries") + 1, V.UNDEFINED),
+        "RecentDelinquencyShare": ratio(c("CurrentDelinquencies"), c("DelinquenciesLast7Years") + 1, V.UNDEFINED),
         "OnTimeRate": for_repeat("PriorPaymentsOnTime", "PriorPaymentsBilled"),
         "OutstandingDebtRatio": for_repeat("PriorPrincipalOutstanding", "PriorPrincipalBorrowed"),
-        "IncomeBand_Mismatch": income_outside_band(income, F.col("IncomeRange")),
+        "IncomeBand_Mismatch": income_outside_band(income, c("IncomeRange")),
         "Income_Undefined": flag(income <= 0),
-    }.items()])
+    }
+
+
+def feature_columns_by_name() -> dict[str, Column]:
+    """Every derived and engineered feature as an expression over raw loan columns."""
+    return _derived(F.col) | _engineered(F.col)
+
+
+def add_engineered(loans: DataFrame) -> DataFrame:
+    """P10-P22 on a table that has the derived columns. Undefined values become -1."""
+    return loans.select("*", *[e.alias(n) for n, e in _engineered(F.col).items()])
 
 
 def all_features(loans: DataFrame) -> DataFrame:

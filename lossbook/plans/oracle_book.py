@@ -12,7 +12,7 @@ ln AS (
     count(*) FILTER (WHERE l_returnflag='A' AND l_linestatus='F') AS n_af,
     count(*) FILTER (WHERE l_returnflag='A') AS n_a
   FROM lineitem GROUP BY 1),
-base AS (
+base AS MATERIALIZED (
   SELECT o.o_orderkey AS k, o.o_custkey AS c, o.o_orderdate AS od, o.o_orderstatus AS os,
     o.o_totalprice/10.0::DOUBLE AS amount, CAST(substr(o.o_orderpriority,1,1) AS INTEGER) AS p,
     CASE o.o_orderkey % 3 WHEN 0 THEN 12 WHEN 1 THEN 36 ELSE 60 END AS term,
@@ -107,7 +107,7 @@ f1 AS (
   FROM book),
 bands(IncomeRange, lo, hi) AS (VALUES ('$0',0,0),('Not employed',0,0),('$1-24,999',1,24999),('$25,000-49,999',25000,49999),
   ('$50,000-74,999',50000,74999),('$75,000-99,999',75000,99999),('$100,000+',100000,1e300::DOUBLE)),
-feat AS (
+feat AS MATERIALIZED (
   SELECT f1.* EXCLUDE (PriorLoans), coalesce(raw_prior,0) AS PriorLoans,
     coalesce(emd,-1) AS EstMonthlyDebtObligation, coalesce(inc-emd,-1) AS DisposableIncome,
     coalesce(ref_payment/nullif(inc,0),-1) AS ReferencePTI, coalesce(inc-emd-ref_payment,-1) AS ResidualIncome,
@@ -128,7 +128,7 @@ feat AS (
       least(greatest(LP_NetPrincipalLoss/(LoanOriginalAmount-LP_CustomerPrincipalPayments),0),1) END AS lgd_label,
     1/(1+exp(-(-0.7::DOUBLE-0.5::DOUBLE*(risk_band-1)+2*CASE WHEN DebtToIncomeRatio IS NULL THEN 0 ELSE least(DebtToIncomeRatio,1) END))) AS pd
   FROM f1 LEFT JOIN bands USING (IncomeRange)),
-pop AS (
+pop AS MATERIALIZED (
   SELECT * FROM feat WHERE LoanOriginationDate >= TIMESTAMP '1996-01-01'
     AND LoanStatus IN ('Chargedoff','Defaulted','Completed'))"""
 
@@ -141,11 +141,11 @@ sta AS (
   SELECT strftime(l_shipdate,'%Y-%m') AS ym, n_name AS state,
     4+sum(round(l_tax*100)::BIGINT)::DOUBLE/count(*) AS state_unemployment
   FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON n_nationkey=s_nationkey GROUP BY 1,2),
-ser AS (
+ser AS MATERIALIZED (
   SELECT ym, 'macro_unemployment' AS series, '' AS unit, macro_unemployment AS x FROM nat
   UNION ALL SELECT ym, 'macro_fedfunds', '', macro_fedfunds FROM nat
   UNION ALL SELECT ym, 'state_unemployment', state, state_unemployment FROM sta),
-numbered AS (
+numbered AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY series,unit ORDER BY ym) AS i FROM ser),
 ewm AS (
   SELECT a.series, a.unit, a.ym,
@@ -160,7 +160,7 @@ quarterly AS (
   SELECT series, unit, q, m, (m-lag(m) OVER v)/lag(m) OVER v AS ch FROM (
     SELECT series, unit, substr(ym,1,4)||'Q'||((substr(ym,6,2)::INT-1)//3+1) AS q, avg(x) AS m FROM ser GROUP BY 1,2,3)
   WINDOW v AS (PARTITION BY series,unit ORDER BY q)),
-smooth AS (
+smooth AS MATERIALIZED (
   SELECT n.series, n.unit, n.ym, n.x,
     avg(n.x) OVER (PARTITION BY n.series,n.unit ORDER BY n.ym ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS ma12,
     e.ewma, l.lr AS longrun, 0.5::DOUBLE*e.ewma+0.5::DOUBLE*l.lr AS ttc, n.x-l.lr AS gap,
@@ -181,7 +181,7 @@ stm AS (
 
 # Observed durations of the panel population.
 _PANEL = """
-dur AS (
+dur AS MATERIALIZED (
   SELECT *, LoanStatus IN ('Chargedoff','Defaulted') AS is_event,
     least(greatest(CASE WHEN ClosedDate IS NOT NULL
       THEN round_even(floor(epoch_us(ClosedDate-LoanOriginationDate)/86400000000)*(12.0::DOUBLE/365.25::DOUBLE),0)

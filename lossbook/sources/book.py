@@ -227,3 +227,9 @@ def state_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (per_supplier.join(supplier.join(nation, "n_nationkey"), "l_suppkey")
             .groupBy("ym", "state").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
             .select("ym", "state", (4 + F.col("t") / F.col("n")).alias("state_unemployment")))
+
+
+def fixed_hazard(pd_: Column, month: Column, term: Column) -> Column:
+    """Stand-in monthly hazard: rises with the PD, peaks at 30 % of the term."""
+    off = month / term - 0.3
+    return 1 / (1 + F.exp(-(-5.5 + 2.5 * pd_ - 3 * off * off)))
