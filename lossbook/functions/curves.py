@@ -6,7 +6,7 @@ A loan's months stay in its own row, so none of these needs a shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,21 +24,35 @@ def clip_hazard(h: Column) -> Column:
     return F.least(F.greatest(h, F.lit(V.HAZARD_FLOOR)), F.lit(1 - V.HAZARD_FLOOR))
 
 
-def survival_curve(hazards: Column) -> Column:
-    """S(t) after each month, from an array of monthly hazards."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an expression so that it is evaluated once per row.
+
+    A lambda body is evaluated per array element, with everything written inside it; binding
+    keeps sums and curves out of the element loop.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fold_curve(hazards: Column, emit: Callable[[Column, Column], Column]) -> Column:
+    """Walk the hazards once; `emit` gives the month's entry from (survival before, hazard)."""
     start = F.struct(F.lit(1.0).alias("s"), F.array().cast("array<double>").alias("curve"))
 
-    def step(acc: Column, h: Column) -> Column:
-        alive = acc["s"] * (1 - clip_hazard(h))
-        return F.struct(alive.alias("s"), F.concat(acc["curve"], F.array(alive)).alias("curve"))
+    def step(acc: Column, raw: Column) -> Column:
+        h = clip_hazard(raw)
+        return F.struct((acc["s"] * (1 - h)).alias("s"),
+                        F.concat(acc["curve"], F.array(emit(acc["s"], h))).alias("curve"))
 
     return F.aggregate(hazards, start, step, lambda acc: acc["curve"])
 
 
+def survival_curve(hazards: Column) -> Column:
+    """S(t) after each month, from an array of monthly hazards."""
+    return _fold_curve(hazards, lambda s, h: s * (1 - h))
+
+
 def marginal_curve(hazards: Column) -> Column:
     """Default probability per month: S(t-1) * h(t). Sums to the lifetime probability."""
-    before = F.concat(F.array(F.lit(1.0)), survival_curve(hazards))
-    return F.zip_with(F.slice(before, 1, F.size(hazards)), hazards, lambda s, h: s * clip_hazard(h))
+    return _fold_curve(hazards, lambda s, h: s * h)
 
 
 def lifetime_pd(hazards: Column) -> Column:
@@ -65,24 +79,27 @@ def timing_bin(month: Column, term: Column, bins: int) -> Column:
     return F.least(F.floor((2 * month - 1) * bins / (2 * term)), F.lit(bins - 1)).cast("int")
 
 
+def _with_mass(curve: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """`body(curve, sum of curve)` with both evaluated once."""
+    return let(curve, lambda c: let(F.struct(c.alias("c"), total(c).alias("mass")), lambda x: body(x["c"], x["mass"])))
+
+
 def timing_weights(term: Column, density: Column, bins: int) -> Column:
     """One weight per month, summing to 1; uniform when the density has no mass there."""
     raw = F.transform(months(term), lambda k: F.get(density, timing_bin(k, term, bins)))
-    mass = total(raw)
-    return F.transform(raw, lambda w: F.when(mass > 0, w / mass).otherwise(1 / term))
+    return _with_mass(raw, lambda c, mass: F.transform(c, lambda w: F.when(mass > 0, w / mass).otherwise(1 / term)))
 
 
 def conform(curve: Column, term: Column) -> Column:
     """Cut a curve to `term` months, or pad it with zeros."""
     n = term.cast("int")
-    pad = F.array_repeat(F.lit(0.0), F.greatest(n - F.size(curve), F.lit(0)))
-    return F.concat(F.slice(curve, 1, n), pad)
+    return let(curve, lambda c: F.concat(
+        F.slice(c, 1, n), F.array_repeat(F.lit(0.0), F.greatest(n - F.size(c), F.lit(0)))))
 
 
 def level_on_shape(level: Column, shape: Column) -> Column:
     """Spread a headline probability over the months in proportion to a shape."""
-    mass = total(shape)
-    return F.when(mass > 0, F.transform(shape, lambda m: level * m / mass))
+    return _with_mass(shape, lambda c, mass: F.when(mass > 0, F.transform(c, lambda m: level * m / mass)))
 
 
 def payment(amount: Column, rate: Column, term: Column) -> Column:

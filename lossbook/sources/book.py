@@ -179,12 +179,16 @@ def _column_rules() -> dict[str, tuple[Column, str]]:
     }
 
 
-def loan_book(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """The loan table, or the asked columns of it (always with `loan_id`)."""
+def loan_book(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None,
+              orders: DataFrame | None = None) -> DataFrame:
+    """The loan table, or the asked columns of it (always with `loan_id`).
+
+    `orders` replaces the stored orders, for example by a stream of arriving ones.
+    """
     rules = _column_rules()
     wanted = list(rules) if columns is None else list(dict.fromkeys(["loan_id", *columns]))
     parts = set("".join(rules[n][1] for n in wanted))
-    book = _orders(table(spark, sf_dir, "orders"))
+    book = _orders(table(spark, sf_dir, "orders") if orders is None else orders)
     if "p" in parts:
         book = _with_prior(book)
     if "l" in parts:
@@ -233,3 +237,28 @@ def fixed_hazard(pd_: Column, month: Column, term: Column) -> Column:
     """Stand-in monthly hazard: rises with the PD, peaks at 30 % of the term."""
     off = month / term - 0.3
     return 1 / (1 + F.exp(-(-5.5 + 2.5 * pd_ - 3 * off * off)))
+
+
+FORM_COLUMNS = ["LoanOriginalAmount", "Term", "ListingCategory", "StatedMonthlyIncome", "IncomeRange", "EmploymentStatus",
+                "EmploymentStatusDuration", "IncomeVerifiable", "IsBorrowerHomeowner", "CreditScoreRangeLower",
+                "DebtToIncomeRatio", "BankcardUtilization", "RevolvingCreditBalance", "AvailableBankcardCredit",
+                "OpenCreditLines", "InquiriesLast6Months", "DelinquenciesLast7Years", "CurrentDelinquencies",
+                "PublicRecordsLast10Years", "AmountDelinquent"]
+
+
+def applications(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Loan applications as a form delivers them: every order is one, some answers are missing."""
+    k = F.col("loan_id")
+    form = loan_book(spark, sf_dir, FORM_COLUMNS, orders)
+    return form.select(
+        "loan_id", *[c for c in FORM_COLUMNS if c != "CreditScoreRangeLower"],
+        (F.col("CreditScoreRangeLower") + 10).alias("credit_score_mid"),
+        (1 + k % 25).cast("double").alias("credit_history_years"),
+        (k % 4).cast("double").alias("PriorLoans"), ((k % 4) * 10).cast("double").alias("PriorPaymentsOnTime"),
+        ((k % 25) / 100.0).alias("offered_apr"))
+
+
+def application_pd() -> Column:
+    """The stand-in PD of a filled model row."""
+    band = F.floor((F.col("CreditScoreRangeLower") - 520) / 40)
+    return 1 / (1 + F.exp(-(-0.7 - 0.5 * (band - 1) + 2 * F.least(F.col("DebtToIncomeRatio"), F.lit(1.0)))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 import traceback
 
@@ -44,9 +45,15 @@ def compare(spark_df, con, sql: str) -> str:
     """Empty string when both sides are equal value by value, else the first difference."""
     got_cols = spark_df.columns
     got = rows_of(got_cols, [tuple(r) for r in spark_df.collect()])
-    res = con.execute(sql)
+    guard = threading.Timer(40, con.interrupt)
+    guard.start()
+    try:
+        res = con.execute(sql)
+        want_rows = res.fetchall()
+    finally:
+        guard.cancel()
     want_cols = [c[0] for c in res.description]
-    want = rows_of(want_cols, res.fetchall())
+    want = rows_of(want_cols, want_rows)
     if sorted(got_cols) != sorted(want_cols):
         return f"columns {sorted(got_cols)} != {sorted(want_cols)}"
     if len(got) != len(want):
