@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lossbook import fixed_values as V
 from lossbook.functions import curves as C
@@ -79,10 +80,10 @@ def _apr_solver(economics: Economics):
     phi = (economics.funding_rate + economics.servicing_rate) / 12
     hurdle = economics.target_raroc * economics.capital_ratio
 
-    @F.pandas_udf("breakeven_apr double, target_raroc_apr double")
-    def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for marginal, lgd in batches:
-            n = marginal.str.len().to_numpy()
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            marginal, lgd = rows.pop("_curve"), rows.pop("_loss")
+            n = np.fromiter((len(c) for c in marginal), dtype=np.int64, count=len(marginal))
             k = int(n.max()) if len(n) else 0
             m, s = np.zeros((k, len(n))), np.zeros((k, len(n)))   # month-major, padded in front
             for i, curve in enumerate(marginal):
@@ -100,7 +101,6 @@ def _apr_solver(economics: Economics):
                 value = (c - phi) * (ps - s_sum / g) - loss * (pm - m_sum / g)
                 return np.where(c <= C.NO_RATE, -np.inf, value / np.expm1(n * np.log1p(c)))
 
-            rates = {}
             for name, goal in (("breakeven_apr", 0.0 * n), ("target_raroc_apr", hurdle * n / 12)):
                 lo, hi = np.zeros(len(n)), np.full(len(n), V.APR_CEILING)
                 for _ in range(V.BISECTION_ROUNDS):
@@ -108,8 +108,8 @@ def _apr_solver(economics: Economics):
                     with np.errstate(divide="ignore", invalid="ignore"):
                         low = unit_profit(mid / 12) < goal
                     lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-                rates[name] = (lo + hi) / 2
-            yield pd.DataFrame(rates)
+                rows[name] = (lo + hi) / 2
+            yield rows
 
     return solve
 
@@ -120,8 +120,10 @@ def price(loans: DataFrame, term: Column, marginal: Column, lgd: Column,
 
     Profit is proportional to the amount, so the rate does not depend on it.
     """
-    solved = loans.withColumn("_apr", _apr_solver(economics)(C.conform(marginal, term), lgd))
-    return solved.select(*loans.columns, "_apr.breakeven_apr", "_apr.target_raroc_apr")
+    rows = loans.withColumn("_curve", C.conform(marginal, term)).withColumn("_loss", lgd.cast("double"))
+    schema = T.StructType([*loans.schema.fields, T.StructField("breakeven_apr", T.DoubleType()),
+                           T.StructField("target_raroc_apr", T.DoubleType())])
+    return rows.mapInPandas(_apr_solver(economics), schema)
 
 
 def expected_loss(pd_: Column, lgd: Column, ead: Column) -> Column:

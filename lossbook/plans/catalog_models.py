@@ -230,7 +230,7 @@ def _(spark, d):
 # balance at the start of month t; c is the monthly rate
 _BAL = "CASE WHEN c<=1e-9 THEN amount*(Term-t+1)/Term ELSE amount*(pow(1+c,Term)-pow(1+c,t-1))/(pow(1+c,Term)-1) END"
 _PAY = "CASE WHEN c<=1e-9 THEN amount/Term ELSE amount*c/(1-pow(1+c,-Term)) END"
-_ECON = """offer AS MATERIALIZED (SELECT loan_id, Term, pd, LoanOriginalAmount AS amount, (loan_id%25)/100.0::DOUBLE/12 AS c FROM pop),
+_ECON = """offer AS MATERIALIZED (SELECT loan_id, Term, pd, LoanOriginalAmount AS amount, (loan_id%25)*0.010371::DOUBLE/12 AS c FROM pop),
 mon AS MATERIALIZED (SELECT *, {bal} AS bal, {pay} AS pay FROM (SELECT *, unnest(generate_series(1,Term)) AS t FROM offer)),
 {fb},
 mw AS MATERIALIZED (SELECT *, pd*raw/sum(raw) OVER (PARTITION BY loan_id) AS m FROM mon JOIN fb ON bin=least(((2*t-1)*20)//(2*Term),19)),
@@ -246,7 +246,7 @@ def econ_sql(select: str) -> str:
 
 def _offers(spark, d):
     loans = jobs.scored_population(spark, d).select("loan_id", "Term", "pd", "lgd", "ead", F.col("LoanOriginalAmount").alias("amount"),
-                                                    ((F.col("loan_id") % 25) / 100.0).alias("apr"))
+                                                    ((F.col("loan_id") % 25) * 0.010371).alias("apr"))
     weights = C.timing_weights(F.col("Term"), C.density_literal(C.fallback_timing()), V.TIMING_BINS)
     return loans.withColumn("marginal", F.transform(weights, lambda w: F.col("pd") * w))
 
@@ -313,7 +313,7 @@ _APR = {"breakeven_apr": 8, "target_raroc_apr": 8}
 
 @query("n12_break_even_target_apr", solve_sql("SELECT loan_id, breakeven_apr, target_raroc_apr FROM apr"), _APR)
 def _(spark, d):
-    o = _offers(spark, d)
+    o = _offers(spark, d).select("loan_id", "Term", "marginal", "lgd")
     return PX.price(o, F.col("Term"), F.col("marginal"), F.col("lgd")).select("loan_id", "breakeven_apr", "target_raroc_apr")
 
 
@@ -342,7 +342,7 @@ def _(spark, d):
 _VERDICT = "CASE WHEN {0}>=target_raroc_apr THEN 'profitable' WHEN {0}>=breakeven_apr THEN 'covers cost' ELSE 'unprofitable' END"
 
 
-@query("n16_price_verdict", solve_sql(f"SELECT loan_id, {_VERDICT.format('(loan_id%25)/100.0::DOUBLE')} AS verdict FROM apr"))
+@query("n16_price_verdict", solve_sql(f"SELECT loan_id, {_VERDICT.format('(loan_id%25)*0.010371::DOUBLE')} AS verdict FROM apr"))
 def _(spark, d):
     o = PX.price(_offers(spark, d), F.col("Term"), F.col("marginal"), F.col("lgd"))
     return o.select("loan_id", PX.verdict(F.col("apr"), F.col("breakeven_apr"), F.col("target_raroc_apr")).alias("verdict"))
@@ -373,7 +373,7 @@ _NUMBERS = ["LoanOriginalAmount", "StatedMonthlyIncome", "DebtToIncomeRatio", "B
             "AvailableBankcardCredit", "OpenCreditLines", "CurrentCreditLines", "TotalInquiries", "AmountDelinquent", "EmploymentStatusDuration",
             "loan_to_income", "stated_income_log", "PriorPaymentsBilled", "PriorPrincipalBorrowed", "PriorPrincipalOutstanding"]
 _TEXT = ["IncomeRange", "EmploymentStatus", "BorrowerState", "IncomeVerifiable", "bankcard_util_bucket"]
-_FORM = """form AS MATERIALIZED (SELECT loan_id, (loan_id%25)/100.0::DOUBLE AS offered_apr, LoanOriginalAmount, Term, StatedMonthlyIncome, IncomeRange,
+_FORM = """form AS MATERIALIZED (SELECT loan_id, (loan_id%25)*0.010371::DOUBLE AS offered_apr, LoanOriginalAmount, Term, StatedMonthlyIncome, IncomeRange,
   EmploymentStatus, EmploymentStatusDuration, DebtToIncomeRatio, BankcardUtilization, RevolvingCreditBalance, AvailableBankcardCredit, OpenCreditLines,
   CurrentDelinquencies, DelinquenciesLast7Years, InquiriesLast6Months, AmountDelinquent, (loan_id%4)::DOUBLE AS PriorLoans,
   CreditScoreRangeLower, CreditScoreRangeLower+19 AS CreditScoreRangeUpper, (1+loan_id%25)*12.0::DOUBLE AS credit_history_months,

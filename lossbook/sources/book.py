@@ -255,7 +255,7 @@ def applications(spark: SparkSession, sf_dir: str, orders: DataFrame | None = No
         (F.col("CreditScoreRangeLower") + 10).alias("credit_score_mid"),
         (1 + k % 25).cast("double").alias("credit_history_years"),
         (k % 4).cast("double").alias("PriorLoans"), ((k % 4) * 10).cast("double").alias("PriorPaymentsOnTime"),
-        ((k % 25) / 100.0).alias("offered_apr"))
+        ((k % 25) * 0.010371).alias("offered_apr"))
 
 
 def application_pd() -> Column:
