@@ -99,7 +99,12 @@ def conform(curve: Column, term: Column) -> Column:
 
 def level_on_shape(level: Column, shape: Column) -> Column:
     """Spread a headline probability over the months in proportion to a shape."""
-    return _with_mass(shape, lambda c, mass: F.when(mass > 0, F.transform(c, lambda m: level * m / mass)))
+    return _with_mass(shape, lambda c, mass: F.when(mass > 0, let(level / mass, lambda u: F.transform(c, lambda m: m * u))))
+
+
+def spread(level: Column, weights: Column) -> Column:
+    """A probability split over the months by weights."""
+    return let(level, lambda p: F.transform(weights, lambda w: p * w))
 
 
 def payment(amount: Column, rate: Column, term: Column) -> Column:

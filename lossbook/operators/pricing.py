@@ -42,20 +42,24 @@ def project(loans: DataFrame, amount: Column, apr: Column, term: Column, margina
     """Lifetime figures of every loan at its offered rate, from one pass over its months."""
     rate = apr / 12
     g = 1 + rate
-    growth = F.pow(g, term)
-    zero = rate <= C.NO_RATE
+    fixed = F.struct(g.alias("g"), F.pow(g, term).alias("growth"), (rate <= C.NO_RATE).alias("flat"),
+                     term.cast("double").alias("n"))
 
-    # state: months done, g**months, default mass so far, and three discounted sums
+    # state: months done, g**months, default mass so far, and two discounted sums per unit lent
     start = F.struct(F.lit(0).alias("k"), F.lit(1.0).alias("gk"), F.lit(0.0).alias("dead"),
                      F.lit(0.0).alias("lost"), F.lit(0.0).alias("owed"))
 
-    def step(a: Column, m: Column) -> Column:
-        bal = F.when(zero, (term - a["k"]) / term).otherwise((growth - a["gk"]) / F.when(growth != 1, growth - 1))
-        disc = bal / (a["gk"] * g)
-        return F.struct((a["k"] + 1).alias("k"), (a["gk"] * g).alias("gk"), (a["dead"] + m).alias("dead"),
-                        (a["lost"] + m * disc).alias("lost"), (a["owed"] + (1 - a["dead"]) * disc).alias("owed"))
-
-    folded = loans.withColumn("_f", F.aggregate(C.conform(marginal, term), start, step))
+    def walk(p: Column) -> Column:
+        def step(a: Column, m: Column) -> Column:
+            bal = F.when(p["flat"], (p["n"] - a["k"]) / p["n"]).otherwise(
+                F.try_divide(p["growth"] - a["gk"], p["growth"] - 1))
+            grown = a["gk"] * p["g"]
+            disc = bal / grown
+            return F.struct((a["k"] + 1).alias("k"), grown.alias("gk"), (a["dead"] + m).alias("dead"),
+                            (a["lost"] + m * disc).alias("lost"), (a["owed"] + (1 - a["dead"]) * disc).alias("owed"))
+        return F.aggregate(C.conform(marginal, term), start, step)
+
+    folded = loans.withColumn("_f", C.let(fixed, walk))
     lost, owed = F.col("_f.lost") * amount, F.col("_f.owed") * amount
     out = folded.select(
         *loans.columns, (lost * lgd).alias("lifetime_ecl"), (owed * rate).alias("interest_income_pv"),

@@ -248,7 +248,7 @@ def _offers(spark, d):
     loans = jobs.scored_population(spark, d).select("loan_id", "Term", "pd", "lgd", "ead", F.col("LoanOriginalAmount").alias("amount"),
                                                     ((F.col("loan_id") % 25) * 0.010371).alias("apr"))
     weights = C.timing_weights(F.col("Term"), C.density_literal(C.fallback_timing()), V.TIMING_BINS)
-    return loans.withColumn("marginal", F.transform(weights, lambda w: F.col("pd") * w))
+    return loans.withColumn("marginal", C.spread(F.col("pd"), weights))
 
 
 @query("n7_amortization", econ_sql("""SELECT loan_id, t, bal AS balance_start, bal*c AS interest, least(pay-bal*c, bal) AS principal, pay AS payment FROM mon"""),

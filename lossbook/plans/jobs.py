@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossbook import fixed_values as V
+from lossbook.functions import curves as C
 from lossbook.operators import features as FE
 from lossbook.operators import labels as LB
 from lossbook.operators import overlay as OV
@@ -94,8 +95,8 @@ def hazard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hazard_array(loans: DataFrame, pd_: str = "pd", term: str = "Term") -> DataFrame:
     """Add `hazards`, the stand-in hazards of the loan's months as an array."""
-    curve = F.transform(F.sequence(F.lit(1), F.col(term).cast("int")),
-                        lambda k: B.fixed_hazard(F.col(pd_), k, F.col(term)))
+    curve = C.let(F.struct(F.col(pd_).alias("pd"), F.col(term).alias("n")), lambda x: F.transform(
+        C.months(x["n"]), lambda k: B.fixed_hazard(x["pd"], k, x["n"])))
     return loans.withColumn("hazards", curve)
 
 
