@@ -445,7 +445,8 @@ def _scoring(spark, d):
     defaults, macro = _defaults(spark, d), jobs.macro_table(spark, d)
 
     def score(forms):
-        out = score_applications(forms, defaults, macro, _stand_in, jobs.hazard_array, numbers=_NUMBERS, texts=_TEXT)
+        out = score_applications(forms, defaults, macro, _stand_in, jobs.hazard_array, numbers=_NUMBERS, texts=_TEXT,
+                                 keep=["DisposableIncome", "macro_unemployment_ttc"])
         return out.select("loan_id", *_SCORED)
     return score
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lossbook.session import apply_settings
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +30,7 @@ def query(name: str, sql: str | None = None, digits: Mapping[str, int] | None =
     """Register a query. `digits` rounds measured columns alike on both sides of the check."""
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            apply_settings(spark)
             return _settled(fn(spark, sf_dir), digits or {})
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")

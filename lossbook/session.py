@@ -8,18 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 STAGE_FOLDER = "lossbook-stages"
+# Dates are UTC. Curves cost CPU per row, not bytes, so shuffled partitions may be small: the
+# default of 1 MB per partition would leave most cores idle behind a narrow loan table.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
 _LOCAL_FOLDER: dict[str, str] = {}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "lossbook") -> SparkSession:
     """A session with the settings the engine relies on; the cluster's own settings stay."""
-    b = (SparkSession.builder.appName(app)
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.ui.enabled", "false"))
+    b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    for name, value in SETTINGS.items():
+        b = b.config(name, value)
     if master:
         b = b.master(master).config("spark.driver.memory", "8g")
     if shuffle_partitions:
@@ -27,6 +33,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """The same settings on a session somebody else has built."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: `spark.checkpoint.dir`, or the context's own.
 
