@@ -301,17 +301,29 @@ def _(spark, d):
     return LB.categoricals_as_text(B.loan_book(spark, d, V.APPLICATION_CATEGORICAL))
 
 
-@query("l5_feature_sets", """SELECT * FROM (VALUES ('base','none',49,0),('cluster','none',50,0),('engineered','none',62,0),
-  ('engineered','ttc',65,3),('engineered','raw',64,2),('engineered','robust',66,4),('engineered','state',64,2),
-  ('engineered','ttc_geo',67,5)) t(layer, macro, n_features, n_overlay) WHERE EXISTS (SELECT 1 FROM orders)""")
-def _(spark, d):
-    rows = B.loan_book(spark, d, ["Term"]).limit(1)
-    sets = [("base", None, False, False), ("cluster", None, False, True), ("engineered", None, True, True)]
-    sets += [("engineered", m, True, True) for m in ("ttc", "raw", "robust", "state", "ttc_geo")]
-    items = [F.struct(F.lit(n).alias("layer"), F.lit(m or "none").alias("macro"),
-                      F.lit(len(LB.check_features(LB.feature_columns(e, c, m)))).alias("n_features"),
-                      F.lit(len(LB.MACRO_SETS[m])).alias("n_overlay")) for n, m, e, c in sets]
-    return rows.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+_L5_SETS = [("base", False, None), ("engineered", True, None), *[("engineered", True, m) for m in ("raw", "ttc", "robust", "state", "ttc_geo")]]
+
+
+def _l5_sql(layer: str, engineered: bool, macro: str | None) -> str:
+    cols = LB.feature_columns(engineered, False, macro)
+    return f"""SELECT '{layer}' AS layer, '{macro or 'none'}' AS macro, {len(cols)} AS n_features, count(*) AS n,
+      count(*) FILTER (WHERE {' AND '.join(c + ' IS NOT NULL' for c in cols)}) AS complete FROM prep"""
+
+
+@query("l5_feature_sets", O.overlay("SELECT 1").rsplit("SELECT 1", 1)[0].rstrip() + """,
+prep AS MATERIALIZED (SELECT * FROM pop LEFT JOIN (SELECT * RENAME (ym AS mym) FROM macro) m ON m.mym=strftime(LoanOriginationDate,'%Y-%m')
+  LEFT JOIN (SELECT * RENAME (ym AS sym) FROM stm) s ON s.sym=strftime(LoanOriginationDate,'%Y-%m') AND s.state=BorrowerState)
+""" + " UNION ALL ".join(_l5_sql(*s) for s in _L5_SETS))
+def _(spark, d):
+    frame = stage(jobs.prepared(spark, d), "prepared")
+    out = None
+    for layer, engineered, macro in _L5_SETS:
+        cols = LB.check_features(LB.feature_columns(engineered, False, macro))
+        known = F.least(*[F.col(c).isNotNull().cast("int") for c in cols])
+        row = frame.select(*cols).agg(F.count("*").alias("n"), F.sum(known).alias("complete")).select(
+            F.lit(layer).alias("layer"), F.lit(macro or "none").alias("macro"), F.lit(len(cols)).alias("n_features"), "n", "complete")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("l6_training_tables", O.features("""SELECT 'pd' AS metric, count(*) AS n, avg(is_bad) AS mean_label FROM pop
