@@ -45,7 +45,7 @@ def at_times(curve: DataFrame, value: str, times: DataFrame) -> DataFrame:
 
 def _with_weight(test: DataFrame, censoring: DataFrame) -> DataFrame:
     g = at_times(censoring, "G", test.select(F.col("T_obs").alias("t")).distinct())
-    return test.join(g.withColumnRenamed("t", "T_obs"), "T_obs").withColumn(
+    return test.join(F.broadcast(g.withColumnRenamed("t", "T_obs")), "T_obs").withColumn(
         "_w", F.when(F.col("is_event") & (F.col("G") > 0), 1 / F.col("G")))
 
 
@@ -66,7 +66,7 @@ def ipcw_concordance(train: DataFrame, test: DataFrame, risk: str) -> DataFrame:
              .select("t", "r", "later", "w"))
     tally = controls.unionByName(cases).groupBy("t", "r").agg(F.sum("later").alias("later"), F.sum("w").alias("w"))
     events = cases.select("t").distinct()
-    ranked = running_totals(tally.join(events, "t", "left_semi"), "r", ["later"], ["t"])
+    ranked = running_totals(tally.join(F.broadcast(events), "t", "left_semi"), "r", ["later"], ["t"])
     right = F.sum(F.col("w") * (F.col("later_before") + F.col("later") / 2))
     return ranked.agg((right / F.sum(F.col("w") * F.col("later_all"))).alias("concordance_ipcw"))
 
