@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossbook.llm import dedup
+from lossbook.llm import decontam, dedup, mixing
 from lossbook.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,15 @@ FROM w JOIN k ON k.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_pivotal_mix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed to target weights by source."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@_query("op4_string_tiling")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked benchmark items of all documents."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
