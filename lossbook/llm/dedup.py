@@ -279,3 +279,13 @@ def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame
     return (signed.join(by_print, "print", "left").join(final, "class_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_one(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
+    """Rows of `docs`, all columns, but one document for each group: that with the smallest id.
+
+    Of rows that repeat an id one stays. Rows without an id stay as they are.
+    """
+    kept = near_duplicates(docs, plan).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    chosen = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))

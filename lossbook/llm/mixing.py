@@ -125,24 +125,38 @@ def rounded(units: DataFrame, group: str, seed: int) -> DataFrame:
         state, level = state.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS)), level + 1
 
 
-def mix(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of `docs`.
-
-    Null and empty texts have size 0 and get one copy, worth no words. A null source is a source.
-    Rows that repeat an id and a size are told apart by their number, so each gets its own copies.
-    A source without words has target 0. An empty table gives an empty result.
-    """
+def _mixed(docs: DataFrame, seed: int, weights: tuple[int, ...]) -> DataFrame:
+    """mix() with what tells repeated rows apart: print, number."""
     base = stage(only(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"),
                                                               F.xxhash64("doc_id", "source", "text").alias("print")), "sizes")
     targets = stage(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     same = Window.partitionBy("doc_id", "print").orderBy(F.lit(0))
-    key = F.xxhash64("doc_id", "print", F.row_number().over(same))
-    rows = base.withColumn("key", key).drop("print").alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select(
-        "d.doc_id", "d.source", "d.key", "d.size", "t.source_size", "t.target",
-        F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0).alias("rate"))
+    numbered = base.withColumn("number", F.row_number().over(same)).withColumn("key", F.xxhash64("doc_id", "print", "number"))
+    rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0)
+    rows = numbered.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select("d.*", "t.source_size", "t.target", rate.alias("rate"))
     rows = stage(rows.withColumn("whole", F.floor(F.col("rate") + EPS)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))), "rates")
     units = rows.filter((F.col("size") > 0) & (F.col("p") > EPS)).select("source", "key", "p", F.col("size").cast("double").alias("size"))
     picked = rounded(units, "source", seed).select("key", "copy")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.coalesce("copy", F.lit(0))).cast("long")
-    return rows.join(picked, "key", "left").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn(
-        "taken", F.col("copies") * F.col("size"))
+    return rows.join(picked, "key", "left").withColumn("copies", copies)
+
+
+def mix(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row of `docs`.
+
+    Null and empty texts have size 0 and get one copy, worth no words. A null source is a source.
+    Rows that repeat an id and a text are told apart by their number, so each gets its own copies.
+    A source without words has target 0. Other columns are ignored. An empty table gives an empty result.
+    """
+    return _mixed(docs, seed, weights).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Rows of `docs`, all columns, each as often as the mix takes it (not at all, or up to MOST times)."""
+    taken = _mixed(docs, seed, weights).groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(
+        F.array_sort(F.collect_list(F.struct("number", "copies"))).alias("_copies"))
+    marked = docs.withColumn("_print", F.xxhash64("doc_id", "source", "text"))
+    numbered = marked.withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "_print").orderBy(F.lit(0))))
+    joined = numbered.join(taken.withColumnRenamed("_print", "_own"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_own")))
+    times = F.element_at(F.col("_copies"), F.col("_number"))["copies"].cast("int")
+    return joined.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
