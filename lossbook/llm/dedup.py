@@ -6,9 +6,10 @@
    equal with a probability close to the sets' similarity.
 2. Texts with the same set are one class; only classes go on. Groups of exact copies cost one row.
 3. Runs of registers are hashed into buckets. First every member of a bucket is compared with the
-   bucket's smallest id only, so a large group of near copies gives one pair for each member.
-4. What these links leave apart inside a bucket is compared in cells of bounded size, sketch against
-   sketch. The joint likelihood of the register comparisons, given both set sizes, drops pairs that
+   bucket's smallest id only, then, where that leaves it apart, with a hub of the bucket's own: a large
+   group of near copies gives a pair or two for each member and bucket.
+4. What these links leave apart inside a bucket is compared in cells of bounded size; only links leave a cell.
+   In every comparison the joint likelihood of the registers, given both set sizes, drops pairs that
    cannot reach the similarity; the others are verified on the full sets of the whole texts.
 5. Components of the verified links give the groups.
 
@@ -35,7 +36,7 @@ from lossbook.session import stage
 
 BASE, RATE, LAST = 1.001, 20.0, 65534        # spacing of register values, rate of the hashes, largest plain value
 SLACK = 12.0                                 # log-likelihood below the best at which a pair is given up
-CELL = 256                                   # members of a bucket's block
+CELL = 1024                                  # members of a bucket's block
 
 
 @dataclass(frozen=True)
@@ -130,7 +131,7 @@ def may_link(na, nb, more, less, equal, percent: int) -> np.ndarray:
     ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
     best = np.full(len(na), -np.inf)
     within = np.full(len(na), -np.inf)
-    for step in np.linspace(0, 1, 65):
+    for step in np.linspace(0, 1, 33):
         value = log_likelihood(step * top, na, nb, more, less, equal)
         best = np.maximum(best, value)
         at = bound + step * np.maximum(top - bound, 0)
@@ -208,30 +209,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: DedupPlan) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _cells(members: DataFrame, labels: DataFrame, classes: DataFrame, plan: DedupPlan) -> DataFrame:
-    """Likely pairs of different labels that share a bucket, but for those with the bucket's smallest id."""
-    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("hub"),
-                                           F.count("*").alias("n")).filter("lo < hi and n > 2")
-    rows = labelled.join(open_.select("bucket", "hub", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")), "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, band, id, label) of the buckets whose members are not yet all connected, with the
+    bucket's smallest id, a hub of its own and its size."""
+    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).select("bucket", "band", "id", "label")
+    open_ = labelled.groupBy("bucket").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("first"), F.count("*").alias("n"),
+        F.min_by("id", F.struct(F.xxhash64("bucket", "id"), "id")).alias("hub")).filter("lo < hi and n > 2")
+    return labelled.join(open_.drop("lo", "hi"), "bucket")
+
+
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """Each member with its bucket's own hub, where their labels differ."""
+    hubs = rows.filter("id = hub").select("bucket", F.col("label").alias("hub_label")).distinct()
+    return rows.join(hubs, "bucket").filter("id <> hub and label <> hub_label").select(
+        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _cell_links(rows: DataFrame, classes: DataFrame, texts: DataFrame, plan: DedupPlan) -> DataFrame:
+    """Verified links between members of different labels, but for those compared with a hub already.
+
+    A bucket is cut into blocks; a cell is a pair of blocks. Only links leave a cell, and within it
+    labels that a link has joined are not compared again, so a large group costs no pairs.
+    """
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "hub", "band", "label", "id")
-    cells = cells.join(classes.select("id", "n_shingles", "registers"), "id")
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "first", "hub", "band", "label", "id")
+    cells = cells.join(classes.select("id", "n_shingles", "registers"), "id").join(texts, "id")
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        ids, labels_, sizes, block = (table.column(c).to_numpy() for c in ("id", "label", "n_shingles", "block"))
-        hub, band = table.column("hub")[0].as_py(), table.column("band")[0].as_py()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable")))
+        ids, labels, sizes, block = (table.column(c).to_numpy() for c in ("id", "label", "n_shingles", "block"))
+        first, hub, band, i, j = (table.column(c)[0].as_py() for c in ("first", "hub", "band", "i", "j"))
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(len(ids), -1)
-        a, b = [], []
-        for x in range(len(ids) - 1):
-            if ids[x] == hub:
-                continue
+        text = table.column("text")
+        tested = (ids == first) | (ids == hub)
+        root: dict[int, int] = {}
+
+        def top(label: int) -> int:
+            while label in root:
+                label = root[label]
+            return label
+
+        sets: dict[int, np.ndarray] = {}
+        a, b, held = [], [], []
+
+        def settle() -> None:
+            """Judge the comparisons held back, by their sketches and then on the full sets."""
+            if not held:
+                return
+            x, y, more, equal = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            ok = may_link(sizes[x].astype(float), sizes[y].astype(float), more, plan.registers - more - equal, equal, plan.percent)
+            x, y, equal = x[ok], y[ok], equal[ok]
+            for k in np.argsort(-equal, kind="stable"):
+                p, q = int(x[k]), int(y[k])
+                lp, lq = top(int(labels[p])), top(int(labels[q]))
+                if lp == lq:
+                    continue
+                fresh = [r for r in (p, q) if r not in sets]
+                sets.update(zip(fresh, shingle_sets(pa.array([text[r].as_py() for r in fresh], pa.string()), plan.width)))
+                common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if 100 * common >= plan.percent * (len(sets[p]) + len(sets[q]) - common):
+                    root[max(lp, lq)] = min(lp, lq)
+                    a.append(int(ids[p]))
+                    b.append(int(ids[q]))
+
+        waiting = 0
+        for x in np.flatnonzero(~tested[:-1]):
             y = np.arange(x + 1, len(ids))
-            y = y[(labels_[y] != labels_[x]) & (100 * np.minimum(sizes[y], sizes[x]) >= plan.percent * np.maximum(sizes[y], sizes[x]))]
+            y = y[(labels[y] != labels[x]) & ~tested[y] & (100 * np.minimum(sizes[y], sizes[x]) >= plan.percent * np.maximum(sizes[y], sizes[x]))]
             if i != j:
                 y = y[block[y] != block[x]]
             if not len(y):
@@ -239,16 +286,17 @@ def _cells(members: DataFrame, labels: DataFrame, classes: DataFrame, plan: Dedu
             same = regs[y] == regs[x]
             earlier = same[:, :band * plan.rows].reshape(len(y), band, plan.rows).all(2).any(1) if band else np.zeros(len(y), bool)
             y, same = y[~earlier], same[~earlier]       # a pair counts in the first band that it shares
-            if not len(y):
-                continue
-            more = (regs[y] < regs[x]).sum(1)
-            equal = same.sum(1)
-            ok = may_link(np.full(len(y), float(sizes[x])), sizes[y].astype(float), more, plan.registers - more - equal, equal, plan.percent)
-            a += [ids[x]] * int(ok.sum())
-            b += ids[y[ok]].tolist()
+            if len(y):
+                held.append((np.full(len(y), x), y, (regs[y] < regs[x]).sum(1), same.sum(1)))
+                waiting += len(y)
+                if waiting > 200_000:
+                    settle()
+                    waiting = 0
+        settle()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    spread = cells.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
+    return spread.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
@@ -269,11 +317,15 @@ def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame
     wanted = members.select("id").distinct()
     texts = stage(only(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
                   .select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "texts")
-    hubs = members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = stage(_verified(_likely(hubs, classes, plan.percent), texts, plan), "links")
-    labels = stage(components(first), "labels")
-    rest = _cells(members.drop("hub"), labels, classes, plan)
-    links = first.union(stage(_verified(rest, texts, plan), "links"))
+    check = lambda pairs: stage(_verified(_likely(pairs, classes, plan.percent), texts, plan), "links")
+    links = check(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    left = stage(_open_buckets(members, components(links)), "open")
+    links = stage(links.union(check(_hub_pairs(left))), "links")
+    # labels change with every round: buckets whose members are connected by now are done
+    merged = components(links)
+    left = left.drop("label").join(merged, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    ends = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+    links = links.union(stage(_cell_links(left.join(ends, "bucket"), classes, texts, plan), "links"))
     final = components(links).withColumnRenamed("id", "class_id")
     by_print = classes.select("print", F.col("id").alias("class_id"))
     return (signed.join(by_print, "print", "left").join(final, "class_id", "left")
