@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lossbook.llm import decontam, dedup, html, langid, mixing, quality, tokenfile, toxicity
+from lossbook.llm import decontam, dedup, html, langid, mixing, neighbours, quality, tokenfile, toxicity
 from lossbook.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op6_prefix_forest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest neighbours of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"))
