@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lossbook.llm import decontam, dedup, html, langid, mixing, neighbours, quality, tokenfile, toxicity
+from lossbook.llm import decontam, dedup, html, langid, lm, mixing, neighbours, quality, tokenfile, toxicity
 from lossbook.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest neighbours of every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@_query("op2_attention_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and base scores of every document."""
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

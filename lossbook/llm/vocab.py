@@ -52,6 +52,12 @@ class WordEncoder:
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         return lengths, np.concatenate(got) if got else np.zeros(0, np.uint32)
 
+    def plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words as they are, none remembered."""
+        lists = _encode(self.path, words.to_pylist())
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return lengths, np.fromiter((x for ids in lists for x in ids), np.uint32, int(lengths.sum()))
+
     def __call__(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         stem = pc.ascii_rtrim(distinct, characters=".,")
         plain = pc.match_substring_regex(stem, r"^[A-Za-z0-9]+$")
