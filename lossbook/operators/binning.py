@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from lossbook.operators.ranking import distinct_counts, quantile_grid, sketch, unpivot
 
-SURELY_MANY = 1000     # a rough distinct count this far above `bins` needs no exact count
 MISSING = "<missing>"
 
 
@@ -19,10 +18,8 @@ def bin_edges(numeric: DataFrame, bins: int, by: Sequence[str] = ("feature",), v
     """(by, edges) of the groups with more than `bins` distinct values; duplicate edges dropped."""
     by = list(by)
     rough = sketch(numeric, by, value)
-    few = numeric.join(rough.filter(F.col("_distinct") <= SURELY_MANY).select(*by), by, "left_semi")
-    many = rough.filter(F.col("_distinct") > SURELY_MANY).select(*by).unionByName(
-        distinct_counts(few, by, value).filter(F.col("distinct") > bins).select(*by))
-    rows = numeric.join(F.broadcast(many), by, "left_semi")
+    many = distinct_counts(numeric, by, value).filter(F.col("distinct") > bins).select(*by)
+    rows = numeric.join(many, by, "left_semi")
     grid = quantile_grid(rows, bins, by, value, rough)
     return grid.select(*by, F.array_distinct("grid").alias("edges"))
 

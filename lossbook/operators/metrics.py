@@ -21,16 +21,19 @@ def score_tally(frame: DataFrame, score: Column, target: Column, by: Sequence[st
 
 
 def ranking_metrics(frame: DataFrame, score: Column, target: Column, by: Sequence[str] = ()) -> DataFrame:
-    """AUC, Gini, KS, average precision and base rate of a score that rises with risk."""
+    """AUC, Gini, KS, average precision and base rate of a score that rises with risk.
+
+    A cohort of one class has no AUC, Gini or KS, and one without bads no average precision: NULL.
+    """
     r = running_totals(score_tally(frame, score, target, by), "score", ["bad", "good"], by)
     nb, ng = F.col("bad_all"), F.col("good_all")
     wins = F.col("bad") * (F.col("good_before") + F.col("good") / 2)
-    gap = F.abs((F.col("bad_before") + F.col("bad")) / nb - (F.col("good_before") + F.col("good")) / ng)
+    gap = F.abs(F.try_divide(F.col("bad_before") + F.col("bad"), nb) - F.try_divide(F.col("good_before") + F.col("good"), ng))
     hit = nb - F.col("bad_before")                      # bads at this score or above
     called = hit + ng - F.col("good_before")
-    precision = F.col("bad") / nb * (hit / called)
+    precision = F.try_divide(F.col("bad"), nb) * F.try_divide(hit, called)
     out = r.groupBy(*by).agg(
-        (F.sum(wins) / (F.max(nb).cast("double") * F.max(ng))).alias("AUC"), F.max(gap).alias("KS"),
+        F.try_divide(F.sum(wins), F.max(nb).cast("double") * F.max(ng)).alias("AUC"), F.max(gap).alias("KS"),
         F.sum(precision).alias("PR_AUC"),
         (F.max(nb) / (F.max(nb) + F.max(ng))).alias("BaseRate"), (F.max(nb) + F.max(ng)).alias("n"))
     return out.select(*by, "n", "AUC", (2 * F.col("AUC") - 1).alias("Gini"), "KS", "PR_AUC", "BaseRate")

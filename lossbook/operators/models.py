@@ -106,7 +106,7 @@ class CalibratedModel:
 
 def _isotonic(scored: DataFrame) -> IsotonicRegressionModel:
     """Fit on score groups, so that the fit sees distinct scores with their row counts."""
-    groups = (scored.select(F.round(vector_to_array("probability")[1], 4).alias("raw_score"), F.col("label").cast("double").alias("label"))
+    groups = (scored.select(vector_to_array("probability")[1].alias("raw_score"), F.col("label").cast("double").alias("label"))
               .groupBy("raw_score").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight")))
     return IsotonicRegression(featuresCol="raw_score", labelCol="label", weightCol="weight", predictionCol="pd").fit(groups)
 

@@ -9,6 +9,7 @@ are written to a stage table, so every later use sees the same edges, also after
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from lossbook.session import stage
 
 _STEPS = (32, 16, 8, 4, 2, 1)
 PARTS = 64
-BROADCAST_ROWS = 1_000_000      # small part tables up to this many rows are sent to every task
 _ALL = "_all"
 
 
@@ -93,8 +93,6 @@ def quantile_grid(rows: DataFrame, m: int, by: Sequence[str], value: str,
     first, last = grid_range(F.col("_before"), F.col("_before") + F.col("_cnt") - 1)
     wanted = hist.filter(first <= last)
     chosen = wanted.select(*by, "_part", "_before", "_n")
-    if edges.count() * PARTS <= BROADCAST_ROWS:     # one row per group: a count of file footers
-        chosen = F.broadcast(chosen)
     counted = (parted.join(chosen, [*by, "_part"])
                .groupBy(*by, "_part", "_before", "_n", value).agg(F.count("*").alias("_cnt")))
     run = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -147,7 +145,7 @@ def smallest_by_hash(rows: DataFrame, key: str, hashed: Column, share: Mapping |
     k is `count` (an expression over the stratum's size `_n`) or ceil(share * size). The hash
     has about a million slots: their histogram finds the slot in which the k-th key lies, and
     only that slot's keys are ordered. The rows themselves are filtered by the cut, not sorted.
-    Cuts are one row per stratum, and strata are the few levels of a target.
+    Cuts are one row per stratum; NULL is a stratum.
     """
     strata = list(strata)
     base = rows.withColumn("_h", hashed)
@@ -160,9 +158,13 @@ def smallest_by_hash(rows: DataFrame, key: str, hashed: Column, share: Mapping |
     cut = upto.withColumn("_k", k.cast("long")).filter(
         (F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k"))).select(
         *keys, F.col("_h").alias("_cut_h"), (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_take"))
-    edge = (base if strata else base.withColumn(_ALL, F.lit(0))).join(F.broadcast(cut), keys).filter(F.col("_h") == F.col("_cut_h"))
+    edge = (base if strata else base.withColumn(_ALL, F.lit(0))).join(
+        cut.withColumnsRenamed({k: f"_of_{k}" for k in keys}), reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])).filter(
+        F.col("_h") == F.col("_cut_h")).drop(*[f"_of_{k}" for k in keys])
     numbered = edge.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(key)))
     last = numbered.filter(F.col("_rn") == F.col("_take")).select(*keys, "_cut_h", F.col(key).alias("_cut_key"))
-    joined = (base if strata else base.withColumn(_ALL, F.lit(0))).join(F.broadcast(last), keys, "left")
+    last = last.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    mine = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    joined = (base if strata else base.withColumn(_ALL, F.lit(0))).join(last, mine, "left")
     inside = (F.col("_h") < F.col("_cut_h")) | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_key")))
     return joined.select(*rows.columns, F.coalesce(inside, F.lit(False)).alias("chosen"))

@@ -51,8 +51,8 @@ def _evidence(counts: DataFrame, digits: int | None) -> DataFrame:
         return c if digits is None else F.bround(c, digits)
 
     goods = F.col("Count") - F.col("Bads")
-    d_bad = (F.col("Bads") + SMOOTH) / F.sum("Bads").over(w)
-    d_good = (goods + SMOOTH) / F.sum(goods).over(w)
+    d_bad = F.try_divide(F.col("Bads") + SMOOTH, F.sum("Bads").over(w))      # NULL where a class is empty
+    d_good = F.try_divide(goods + SMOOTH, F.sum(goods).over(w))
     return (counts.withColumn("Goods", goods).withColumn("_db", d_bad).withColumn("_dg", d_good)
             .withColumn("WOE", rounded(F.log(F.col("_dg") / F.col("_db"))))
             .withColumn("IV", rounded((F.col("_dg") - F.col("_db")) * F.col("WOE"))).drop("_db", "_dg"))

@@ -68,7 +68,7 @@ def ipcw_concordance(train: DataFrame, test: DataFrame, risk: str) -> DataFrame:
     events = cases.select("t").distinct()
     ranked = running_totals(tally.join(F.broadcast(events), "t", "left_semi"), "r", ["later"], ["t"])
     right = F.sum(F.col("w") * (F.col("later_before") + F.col("later") / 2))
-    return ranked.agg((right / F.sum(F.col("w") * F.col("later_all"))).alias("concordance_ipcw"))
+    return ranked.agg(F.try_divide(right, F.sum(F.col("w") * F.col("later_all"))).alias("concordance_ipcw"))
 
 
 def evaluation_times(train: DataFrame, test: DataFrame, step: int = 6) -> list[int]:
@@ -91,8 +91,8 @@ def dynamic_auc(train: DataFrame, test: DataFrame, risk: str, times: list[int])
     tally = long.groupBy("t", "r").agg(F.sum(case).alias("w"), F.sum(control).alias("later"))
     ranked = running_totals(tally, "r", ["later"], ["t"])
     return ranked.groupBy("t").agg(
-        (F.sum(F.col("w") * (F.col("later_before") + F.col("later") / 2))
-         / (F.sum("w") * F.max("later_all"))).alias("auc"))
+        F.try_divide(F.sum(F.col("w") * (F.col("later_before") + F.col("later") / 2)),
+                     F.sum("w") * F.max("later_all")).alias("auc"))
 
 
 def mean_dynamic_auc(auc: DataFrame, test: DataFrame) -> DataFrame:

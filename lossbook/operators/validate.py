@@ -55,7 +55,7 @@ def default_timing(loans: DataFrame, bins: int = V.TIMING_BINS) -> DataFrame:
     all_bins = loans.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return (all_bins.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
-            .select("bin", "n", (F.col("n") / total).alias("density")))
+            .select("bin", "n", F.try_divide(F.col("n"), total).alias("density")))
 
 
 def timing_peak(curve: DataFrame, bins: int = V.TIMING_BINS) -> DataFrame:

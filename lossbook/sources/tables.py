@@ -15,9 +15,18 @@ from lossbook.functions.expr import nan_to_null
 
 def read_loans_csv(spark: SparkSession, path: str, schema: T.StructType, rename: Mapping[str, str] | None = None,
                    columns: Sequence[str] | None = None) -> DataFrame:
-    """Loan table from CSV with a header; `rename` maps a book's own headers to ours."""
-    df = spark.read.schema(schema).option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
-    df = nan_to_null(df.withColumnsRenamed(dict(rename or {})))
+    """Loan table from CSV, matched by header; `rename` maps a book's own headers to ours.
+
+    Columns may come in any order, and further ones are left out; a missing one is an error. Values that
+    are no number or date of their column's type are NULL, and time stamps may have fractions.
+    """
+    ours = {v: k for k, v in (rename or {}).items()}
+    text = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schema if ours.get(f.name, f.name) not in text.columns and f.name not in text.columns]
+    if missing:
+        raise ValueError(f"columns not in the header of {path}: {missing}")
+    header = {f.name: ours.get(f.name, f.name) if ours.get(f.name, f.name) in text.columns else f.name for f in schema}
+    df = nan_to_null(text.select(*[F.col(f"`{header[f.name]}`").try_cast(f.dataType).alias(f.name) for f in schema]))
     return df.select(*columns) if columns else df
 
 

@@ -127,3 +127,42 @@ def test_nearest_rank(spark):
     df = spark.createDataFrame([(i, float(i // 3)) for i in range(31)], "loan_id long, s double")
     got = {r["tenth"]: r["loan_id"] for r in nearest_rank_picks(df, "s", "loan_id", [1, 5, 9]).collect()}
     assert got == {1: 3, 5: 15, 9: 27}
+
+
+def test_totals_before_keeps_null_keys_and_levels(spark):
+    rows = [(None if i % 3 == 0 else i % 2, None if i % 10 == 0 else i % 7, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, d int, id int")
+    levels = [F.col("d"), F.shiftright("id", 3)]
+    both = [totals_before(df, "k", ["d", "id"], levels, {"n": F.lit(1)}, hot_rows=h).toPandas().sort_values("id") for h in (20, 10_000)]
+    assert len(both[0]) == 200 and both[0].n.tolist() == both[1].n.tolist()
+
+
+def test_bins_above_a_thousand(spark):
+    from lossbook.operators.binning import bin_edges
+    df = spark.range(1500).select(F.lit("f").alias("feature"), F.col("id").cast("double").alias("value"))
+    assert bin_edges(df, 2000).count() == 0 and bin_edges(df, 1000).count() == 1
+
+
+def test_one_class_cohorts_are_null(spark):
+    from lossbook.operators.metrics import ranking_metrics
+    df = spark.createDataFrame([(1, 0.1, 0), (1, 0.2, 0), (2, 0.3, 1), (3, 0.1, 0), (3, 0.9, 1)], "v int, s double, y int")
+    got = {r.v: r for r in ranking_metrics(df, F.col("s"), F.col("y"), ["v"]).collect()}
+    assert got[1].AUC is None and got[1].KS is None and got[1].PR_AUC is None and got[2].AUC is None and got[3].AUC == 1.0
+
+
+def test_null_stratum_is_split(spark):
+    from lossbook.operators.splits import stratified_split
+    df = spark.range(400).select(F.col("id").alias("loan_id"), F.when(F.col("id") % 2 == 0, 1).alias("y"))
+    got = stratified_split(df, stratum="y").filter("y is null").groupBy("split").count().collect()
+    assert {r.split for r in got} == {"train", "test"}
+
+
+def test_csv_by_header(spark, tmp_path):
+    from pyspark.sql import types as T
+    from lossbook.sources.tables import read_loans_csv
+    (tmp_path / "l.csv").write_text("more,when,Term\nx,2007-08-26 18:41:46.780000000,36\ny,never,n/a\n")
+    schema = T.StructType([T.StructField("Term", T.IntegerType()), T.StructField("at", T.TimestampType())])
+    got = read_loans_csv(spark, str(tmp_path), schema, {"when": "at"}).orderBy(F.col("Term").asc_nulls_last()).collect()
+    assert got[0].Term == 36 and got[0].at.microsecond == 780000 and got[1].Term is None and got[1].at is None
+    with pytest.raises(ValueError):
+        read_loans_csv(spark, str(tmp_path), T.StructType([T.StructField("gone", T.IntegerType())]))
