@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossbook.llm.text import encode_words, held_out, learned, only, slices, split_words, texts_of
+from lossbook.session import stage
 
 BITS = 20                        # feature buckets: 2**BITS bounds the model whatever the data
 SAMPLE = 10_000                  # labelled documents that the weights are fitted on, about
@@ -125,22 +126,24 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sampl
             yield pa.RecordBatch.from_arrays(list(one), names=["k", "pos", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(k + 1), pa.array(pos[k]), pa.array(every[k])], names=["k", "pos", "n"])
 
-    counts = rows.mapInArrow(count, "k long, pos long, n long").groupBy("k").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toPandas()
-    whole = counts[counts.k == 0]
-    n_pos, n = (int(whole.pos.iloc[0]), int(whole.n.iloc[0])) if len(whole) else (0, 0)
+    counts = stage(rows.mapInArrow(count, "k long, pos long, n long").groupBy("k").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")), "counts")
+    whole = counts.filter("k = 0").first()
+    n_pos, n = (whole.pos, whole.n) if whole else (0, 0)
     if not 0 < n_pos < n:
         return Model(np.zeros(1 << BITS), -6.0)
-    counts = counts[(counts.k > 0) & (counts.n >= least)]
-    pos, every, share = counts.pos.to_numpy(float), counts.n.to_numpy(float), n_pos / n
-    lean = (pos - share * every) / np.sqrt(share * (1 - share) * every) > surplus
+    share = n_pos / n
+    lean = (F.col("pos") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n")) > surplus
+    chosen = counts.filter((F.col("k") > 0) & (F.col("n") >= least) & lean).toPandas()      # the few buckets that lean to toxic documents
+    pos, every = chosen.pos.to_numpy(float), chosen.n.to_numpy(float)
     ratio = np.log((pos + 0.5) / (n_pos + 1)) - np.log((every - pos + 0.5) / (n - n_pos + 1))
     start = np.full(1 << BITS, np.nan)
-    start[counts.k.to_numpy()[lean] - 1] = ratio[lean] / (1 + len(BEGINNINGS))
+    start[chosen.k.to_numpy(int) - 1] = ratio / (1 + len(BEGINNINGS))
+    known = np.flatnonzero(~np.isnan(start))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             b = bags(texts_of(batch))
-            got = ~np.isnan(start)[b.features]
+            got = np.isin(b.features, known)
             run = np.concatenate([[0], np.cumsum(got.sum(1)[b.words])])
             inner = pa.ListArray.from_arrays(pa.array(run[b.per_sentence], pa.int32()), pa.array(b.features[b.words][got[b.words]], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()),
