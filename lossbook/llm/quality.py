@@ -128,7 +128,8 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> Model:
     """Fit on labelled documents outside the held-out fold. Null labels, ids and unknown ids do not count."""
     y = only(labels, "doc_id", "quality").filter(F.col("quality").isin(0, 1) & learned(F.col("doc_id"), folds, fold)).dropDuplicates(["doc_id"])
-    rows = only(docs, "doc_id", "text").join(y, "doc_id").select("doc_id", "text", "quality")
+    # labels grow with the documents, so the join is the same at every size
+    rows = only(docs, "doc_id", "text").join(y.hint("merge"), "doc_id").select("doc_id", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
