@@ -170,13 +170,21 @@ class _Block:
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most BLOCK_BYTES of text (or one item), one block on the driver at a time."""
+    """Items in blocks of about BLOCK_BYTES of text (at most one item more), one block on the driver at a time.
+
+    Running sums of the text's bytes go through all partitions, so the number of blocks, and of passes over
+    the documents, follows from the benchmark's size and not from how many files it lies in.
+    """
     items = only(benchmark, "item_id", "text").filter("text is not null")
-    sized = items.withColumn("part", F.spark_partition_id()).withColumn("n", F.octet_length("text"))
-    order = Window.partitionBy("part").orderBy("item_id", "text")
-    sized = stage(sized.withColumn("block", F.floor((F.sum("n").over(order) - F.col("n")) / BLOCK_BYTES)).drop("n"), "benchmark")
-    for key in sized.select("part", "block").distinct().orderBy("part", "block").toLocalIterator():
-        yield [(r.item_id, r.text) for r in sized.filter((F.col("part") == key.part) & (F.col("block") == key.block)).select("item_id", "text").collect()]
+    sized = stage(items.withColumn("part", F.spark_partition_id()).withColumn("n", F.octet_length("text").cast("long")), "benchmark")
+    # one row per partition of the benchmark
+    parts = sized.groupBy("part").agg(F.sum("n").alias("n")).select(
+        F.col("part").alias("of"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))
+    own = F.sum("n").over(Window.partitionBy("part").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = sized.withColumn("own", own).join(parts, F.col("part") == F.col("of"))
+    blocks = stage(placed.select("item_id", "text", F.floor((F.col("before") + F.col("own")) / BLOCK_BYTES).alias("block")), "blocks")
+    for key in blocks.select("block").distinct().orderBy("block").toLocalIterator():
+        yield [(r.item_id, r.text) for r in blocks.filter(F.col("block") == key.block).select("item_id", "text").collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, plan: TilePlan = TilePlan()) -> DataFrame:
