@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sampl
     share = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(2**30)) < F.lit(int(2**30 * min(1.0, sample / max(n, 1))))
     got = marked.filter(share).orderBy("doc_id").select("quality", "buckets").toArrow()
     lists = got.column("buckets").combine_chunks()
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists.to_pylist()])]).astype(int) if len(lists) else np.zeros(1, int)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(int) if len(lists) else np.zeros(1, int)
     index = lists.flatten().to_numpy().astype(int) if len(lists) else np.zeros(0, int)
     sign = np.where(got.column("quality").to_numpy() == 1, 1.0, -1.0)
     w, b = dual_coordinate_descent(ends, index, ratio[index], sign, 1 << BITS)
