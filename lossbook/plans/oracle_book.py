@@ -19,8 +19,8 @@ base AS MATERIALIZED (
     cu.c_acctbal AS bal, cu.c_mktsegment AS seg, n.n_name AS nname, ln.*,
     (count(*) OVER w)::BIGINT AS pn,
     coalesce(sum(round(o.o_totalprice*100)::BIGINT) OVER w, 0)::DOUBLE AS pcents
-  FROM orders o JOIN customer cu ON cu.c_custkey=o.o_custkey
-  JOIN nation n ON n.n_nationkey=cu.c_nationkey LEFT JOIN ln ON ln.l_orderkey=o.o_orderkey
+  FROM orders o LEFT JOIN customer cu ON cu.c_custkey=o.o_custkey
+  LEFT JOIN nation n ON n.n_nationkey=cu.c_nationkey LEFT JOIN ln ON ln.l_orderkey=o.o_orderkey
   WINDOW w AS (PARTITION BY o.o_custkey ORDER BY o.o_orderdate, o.o_orderkey
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 book1 AS (

@@ -117,3 +117,19 @@ def test_panel_scope_and_durations(spark):
 def test_unknown_population_mode(spark):
     with pytest.raises(NotImplementedError):
         PO.resolved(spark.createDataFrame([], BOOK), "1996-01-01", "seasoned")
+
+
+def test_loans_do_not_depend_on_the_columns_asked(spark, tmp_path):
+    from lossbook.sources.book import loan_book
+    tables = "/root/testdata/sf0.001"
+    for name in ("orders", "nation", "customer"):
+        rows = spark.read.parquet(f"{tables}/{name}.parquet")
+        if name == "customer":
+            rows = rows.filter("c_custkey % 3 = 0")         # loans of the others have no customer
+        if name == "nation":
+            rows = rows.filter("n_nationkey > 4")
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    n = spark.read.parquet(f"{tables}/orders.parquet").count()
+    assert loan_book(spark, str(tmp_path), ["Term"]).count() == n
+    assert loan_book(spark, str(tmp_path), ["Term", "StatedMonthlyIncome"]).dropna(subset=["loan_id"]).count() == n
+    assert loan_book(spark, str(tmp_path), ["BorrowerState"]).dropna(subset=["loan_id"]).count() == n
