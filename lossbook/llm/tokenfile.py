@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossbook.llm.text import encode_words, only, slices, split_words, texts_of
-from lossbook.llm.vocab import WordEncoder, gather
+from lossbook.llm.vocab import gather, word_encoder
 from lossbook.session import new_path, stage
 
 ENDING = 2
@@ -72,7 +72,7 @@ def write(docs: DataFrame, path: str, folder: str, ending: int = ENDING, width:
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         part = TaskContext.get().partitionId()
         shard, store = f"shard-{part:06d}", _place(folder)[0]
         base = _place(folder)[1]

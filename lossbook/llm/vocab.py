@@ -7,13 +7,14 @@ the ids of its words, one after the other. Words are therefore encoded once and
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KNOWN_WORDS = 400_000            # words kept between batches of a worker
+KNOWN_WORDS = 400_000            # words of one generation; a worker keeps two
 
 
 @lru_cache(maxsize=4)
@@ -35,22 +36,25 @@ class WordEncoder:
     """Ids of words as (lengths, flat ids); frequent words are remembered between calls.
 
     Letters and digits followed by full stops or commas are encoded apart from these marks, which the
-    tokenizer splits off as well.
+    tokenizer splits off as well. Words are kept in two generations: a full one becomes the older one,
+    and words that come again move on, so rare words leave and frequent ones stay.
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path, self.recent, self.older = path, {}, {}
 
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = words.to_pylist()
-        known = self.known
-        fresh = [w for w in words if w not in known]
-        known |= dict(zip(fresh, (np.array(x, np.uint32) for x in _encode(self.path, fresh))))
-        got = [known[w] for w in words]
-        if len(known) > KNOWN_WORDS:
-            self.known = {}
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return lengths, np.concatenate(got) if got else np.zeros(0, np.uint32)
+        if len(self.recent) > KNOWN_WORDS:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        again = [w for w in words if w not in recent]
+        fresh = [w for w in again if w not in older]
+        recent |= {w: older[w] for w in again if w in older}
+        recent |= zip(fresh, (array("I", ids).tobytes() for ids in _encode(self.path, fresh)))
+        got = [recent[w] for w in words]
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // array("I").itemsize
+        return lengths, np.frombuffer(b"".join(got), np.uint32)
 
     def plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words as they are, none remembered."""
@@ -61,11 +65,9 @@ class WordEncoder:
     def __call__(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         stem = pc.ascii_rtrim(distinct, characters=".,")
         plain = pc.match_substring_regex(stem, r"^[A-Za-z0-9]+$")
-        size = pc.binary_length(stem)
+        marks = pc.if_else(plain, pc.replace_substring_regex(distinct, r"^[A-Za-z0-9]+", ""), "")
         stem = pc.if_else(plain, pc.ascii_lower(stem), distinct)
-        cut = pc.if_else(plain, pc.subtract(pc.binary_length(distinct), size), 0).to_pylist()
-        marks = [w[-c:] if c else "" for w, c in zip(distinct.to_pylist(), cut)]
-        stems, marks = stem.dictionary_encode(), pa.array(marks, pa.string()).dictionary_encode()
+        stems, marks = stem.dictionary_encode(), marks.dictionary_encode()
         stem_len, stem_ids = self._ids(stems.dictionary)
         mark_len, mark_ids = self._ids(marks.dictionary)
         a, b = stems.indices.to_numpy(), marks.indices.to_numpy()
@@ -74,6 +76,12 @@ class WordEncoder:
         return lengths, lists
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: tasks that it runs later find the words of earlier ones."""
+    return WordEncoder(path)
+
+
 def gather(lengths: np.ndarray, flat: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Concatenate the lists (lengths, flat) in the order of `index`."""
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
