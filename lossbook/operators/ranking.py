@@ -168,3 +168,26 @@ def smallest_by_hash(rows: DataFrame, key: str, hashed: Column, share: Mapping |
     joined = (base if strata else base.withColumn(_ALL, F.lit(0))).join(last, mine, "left")
     inside = (F.col("_h") < F.col("_cut_h")) | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_key")))
     return joined.select(*rows.columns, F.coalesce(inside, F.lit(False)).alias("chosen"))
+
+
+def fold_by_hash(rows: DataFrame, key: str, hashed: Column, shares: Sequence[float], stratum: str) -> DataFrame:
+    """Add `fold`: how many cuts a row lies above in (hash, key) order of its stratum.
+
+    Cut i is the key at position ceil(share i * size). All cuts come from one histogram of hash
+    slots and one look at the slots they fall into; each row then meets its stratum's few cuts.
+    """
+    base = rows.withColumn("_h", hashed)
+    order = Window.partitionBy(stratum).orderBy("_h")
+    upto = base.groupBy(stratum, "_h").agg(F.count("*").alias("_c")).select(
+        F.col(stratum).alias("_of"), F.col("_h").alias("_cut_h"), "_c", F.sum("_c").over(order).alias("_upto"),
+        F.sum("_c").over(Window.partitionBy(stratum)).alias("_n"))
+    at = F.posexplode(F.array(*[F.ceil(F.col("_n") * float(x)).cast("long") for x in shares])).alias("_i", "_k")
+    cut = upto.select("_of", "_cut_h", (F.col("_upto") - F.col("_c")).alias("_start"), "_upto", at).filter(
+        (F.col("_upto") >= F.col("_k")) & (F.col("_start") < F.col("_k")))
+    edge = base.select(F.col(stratum).alias("_s"), "_h", F.col(key).alias("_cut_key")).join(
+        cut, F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_cut_h")))
+    place = F.row_number().over(Window.partitionBy("_of", "_i").orderBy("_cut_key"))
+    cuts = (edge.withColumn("_rn", place).filter(F.col("_rn") == F.col("_k") - F.col("_start"))
+            .groupBy("_of").agg(F.collect_list(F.struct("_cut_h", "_cut_key")).alias("_cuts")))
+    above = F.filter("_cuts", lambda c: (F.col("_h") > c["_cut_h"]) | ((F.col("_h") == c["_cut_h"]) & (F.col(key) > c["_cut_key"])))
+    return base.join(cuts, F.col(stratum).eqNullSafe(F.col("_of")), "left").select(*rows.columns, F.size(above).alias("fold"))

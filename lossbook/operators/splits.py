@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lossbook import fixed_values as V
 from lossbook.functions.expr import key_hash
-from lossbook.operators.ranking import smallest_by_hash
+from lossbook.operators.ranking import fold_by_hash, smallest_by_hash
 
 SEED = 42
 
@@ -51,15 +51,8 @@ def downsample_negatives(rows: DataFrame, target: str, row_key: str, per_positiv
 def stratified_folds(frame: DataFrame, key: str = "loan_id", stratum: str = V.TARGET,
                      folds: int = V.CV_FOLDS, seed: int = SEED) -> DataFrame:
     """Add `fold` 0..k-1 with equal stratum shares, cut by hash order."""
-    out, names = frame, []
-    for i in range(1, folds):
-        out = smallest_by_hash(out, key, key_hash(F.col(key), seed), share=i / folds, strata=[stratum])
-        names.append(f"_below{i}")
-        out = out.withColumnRenamed("chosen", names[-1])
-    fold = F.lit(folds - 1)
-    for n in names:
-        fold = fold - F.col(n).cast("int")
-    return out.withColumn("fold", fold).drop(*names)
+    shares = [i / folds for i in range(1, folds)]
+    return fold_by_hash(frame, key, key_hash(F.col(key), seed), shares, stratum)
 
 
 def fixed_size_sample(frame: DataFrame, n: int, key: str = "loan_id", seed: int = SEED) -> DataFrame:

@@ -166,3 +166,9 @@ def test_csv_by_header(spark, tmp_path):
     assert got[0].Term == 36 and got[0].at.microsecond == 780000 and got[1].Term is None and got[1].at is None
     with pytest.raises(ValueError):
         read_loans_csv(spark, str(tmp_path), T.StructType([T.StructField("gone", T.IntegerType())]))
+
+
+def test_folds_of_tiny_and_null_strata(spark):
+    df = spark.createDataFrame([(1, 1), *[(i, 0) for i in range(2, 9)], *[(i, None) for i in range(9, 14)]], "loan_id long, is_bad int")
+    got = {(r["is_bad"], r["fold"]): r["n"] for r in SP.stratified_folds(df, folds=4).groupBy("is_bad", "fold").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 0): 1, (0, 0): 2, (0, 1): 2, (0, 2): 2, (0, 3): 1, (None, 0): 2, (None, 1): 1, (None, 2): 1, (None, 3): 1}
