@@ -142,13 +142,14 @@ def _(spark, d):
     return RT.iv_ranking(_features(spark, d, [*ALL_NUMERIC, *ALL_TEXT, V.TARGET]), ALL_NUMERIC + ALL_TEXT)
 
 
-PLAN = PR.ImputationPlan(
-    numeric_median=["BankcardUtilization", "RevolvingCreditBalance", "AmountDelinquent", "EmploymentStatusDuration"],
-    categorical_mode=["EmploymentStatus", "BorrowerState", "IncomeRange"],
-    grouped_median={"DebtToIncomeRatio": "IncomeRange"},
-    constant_fill={"PriorLoans": 0.0, "PriorPrincipalBorrowed": 0.0},
-    missing_flags=["DebtToIncomeRatio", "PriorLoans", "EmploymentStatusDuration"])
-_PLAN_COLUMNS = [*PLAN.numeric_median, *PLAN.categorical_mode, "DebtToIncomeRatio", *PLAN.constant_fill]
+MEDIAN_COLUMNS = ["BankcardUtilization", "RevolvingCreditBalance", "AmountDelinquent", "EmploymentStatusDuration"]
+MODE_COLUMNS = ["EmploymentStatus", "BorrowerState", "IncomeRange"]
+ZERO_COLUMNS = ["PriorLoans", "PriorPrincipalBorrowed"]
+FLAGGED = ["DebtToIncomeRatio", "PriorLoans", "EmploymentStatusDuration"]
+FILLS = [*[PR.Fill(c, "median", flag=c in FLAGGED) for c in MEDIAN_COLUMNS], *[PR.Fill(c, "mode") for c in MODE_COLUMNS],
+         PR.Fill("DebtToIncomeRatio", "median", within="IncomeRange", flag=True),
+         *[PR.Fill(c, "constant", value=0.0, flag=c in FLAGGED) for c in ZERO_COLUMNS]]
+_PLAN_COLUMNS = [f.column for f in FILLS]
 
 
 def _plan_frame(spark, d):
@@ -164,9 +165,9 @@ raw AS MATERIALIZED (SELECT b.loan_id, s.split, {', '.join('b.' + c for c in _PL
 
 def _stats_sql(where: str) -> str:
     med = " UNION ALL ".join(f"SELECT 'median' AS rule, '{c}' AS feature, NULL::VARCHAR AS grp, median({c}) AS number, NULL::VARCHAR AS text FROM raw {where}"
-                             for c in [*PLAN.numeric_median, "DebtToIncomeRatio"])
+                             for c in [*MEDIAN_COLUMNS, "DebtToIncomeRatio"])
     mode = " UNION ALL ".join(f"""SELECT 'mode', '{c}', NULL, NULL, (SELECT {c} FROM raw {where or 'WHERE true'} AND {c} IS NOT NULL
-      GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1)""" for c in PLAN.categorical_mode)
+      GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1)""" for c in MODE_COLUMNS)
     grp = f"""SELECT 'grouped', 'DebtToIncomeRatio', IncomeRange, median(DebtToIncomeRatio), NULL FROM raw {where or 'WHERE true'}
       AND IncomeRange IS NOT NULL GROUP BY 3 HAVING count(DebtToIncomeRatio)>0"""
     return f"{med} UNION ALL {mode} UNION ALL {grp}"
@@ -174,17 +175,17 @@ def _stats_sql(where: str) -> str:
 
 @query("a08_impute_statistics", _raw(_stats_sql("")), {"number": 6})
 def _(spark, d):
-    return PR.fit_imputation(_plan_frame(spark, d), PLAN)
+    return PR.learn_fills(_plan_frame(spark, d), FILLS)
 
 
 def _apply_sql(where: str, rows: str) -> str:
     stats = _stats_sql(where)
     def one(c: str, kind: str, rule: str) -> str:
         return f"(SELECT max({kind}) FROM st WHERE rule='{rule}' AND feature='{c}')"
-    med = ", ".join(f"coalesce({c}, {one(c, 'number', 'median')}) AS {c}" for c in PLAN.numeric_median)
-    mode = ", ".join(f"coalesce({c}, {one(c, 'text', 'mode')}) AS {c}" for c in PLAN.categorical_mode)
-    const = ", ".join(f"coalesce({c}, 0) AS {c}" for c in PLAN.constant_fill)
-    flags = ", ".join(f"({c} IS NULL)::INT AS {c}_was_missing" for c in PLAN.missing_flags)
+    med = ", ".join(f"coalesce({c}, {one(c, 'number', 'median')}) AS {c}" for c in MEDIAN_COLUMNS)
+    mode = ", ".join(f"coalesce({c}, {one(c, 'text', 'mode')}) AS {c}" for c in MODE_COLUMNS)
+    const = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ZERO_COLUMNS)
+    flags = ", ".join(f"({c} IS NULL)::INT AS {c}_was_missing" for c in FLAGGED)
     return _raw("")[:-1].rstrip() + f""",
 st AS MATERIALIZED ({stats})
 SELECT loan_id, split, {med}, {mode}, {const}, {flags},
@@ -192,19 +193,19 @@ SELECT loan_id, split, {med}, {mode}, {const}, {flags},
     {one('DebtToIncomeRatio', 'number', 'median')}) AS DebtToIncomeRatio FROM raw {rows}"""
 
 
-_FILLED_DIGITS = {c: 6 for c in [*PLAN.numeric_median, "DebtToIncomeRatio", *PLAN.constant_fill]}
+_FILLED_DIGITS = {c: 6 for c in [*MEDIAN_COLUMNS, "DebtToIncomeRatio", *ZERO_COLUMNS]}
 
 
 @query("a09_impute_apply", "SELECT * EXCLUDE (split) FROM (" + _apply_sql("", "") + ")", _FILLED_DIGITS)
 def _(spark, d):
     frame = _plan_frame(spark, d)
-    return PR.apply_imputation(frame, PLAN, PR.fit_imputation(frame, PLAN)).drop(V.TARGET)
+    return PR.fill_missing(frame, FILLS, PR.learn_fills(frame, FILLS)).drop(V.TARGET)
 
 
 @query("a10_fit_train_apply_both", _apply_sql("WHERE split='train'", ""), _FILLED_DIGITS)
 def _(spark, d):
     frame = stage(SP.stratified_split(_plan_frame(spark, d)), "split")
-    train, test, _stats = PR.clean(frame.filter("split = 'train'"), PLAN, frame.filter("split = 'test'"))
+    train, test, _stats = PR.clean(frame.filter("split = 'train'"), FILLS, frame.filter("split = 'test'"))
     return train.unionByName(test).drop(V.TARGET)
 
 

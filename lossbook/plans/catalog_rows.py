@@ -397,8 +397,8 @@ def _(spark, d):
   FROM pop LEFT JOIN (SELECT IncomeRange, median(DebtToIncomeRatio) AS m FROM pop GROUP BY 1) g USING (IncomeRange)"""), {"dti": 8})
 def _(spark, d):
     pop = stage(jobs.population(spark, d, [*POP, "DebtToIncomeRatio", "IncomeRange"]), "population")
-    plan = PR.ImputationPlan(grouped_median={"DebtToIncomeRatio": "IncomeRange"})
-    return PR.apply_imputation(pop, plan, PR.fit_imputation(pop, plan)).select("loan_id", F.col("DebtToIncomeRatio").alias("dti"))
+    fills = [PR.Fill("DebtToIncomeRatio", "median", within="IncomeRange")]
+    return PR.fill_missing(pop, fills, PR.learn_fills(pop, fills)).select("loan_id", F.col("DebtToIncomeRatio").alias("dti"))
 
 
 _CAL_SQL = """cal AS (SELECT loan_id FROM (SELECT loan_id, row_number() OVER (ORDER BY ((loan_id%1000003)*2654435761+42)%1000003, loan_id) AS rn,

@@ -85,11 +85,11 @@ def test_default_at_term_is_in_the_last_bin(spark):
 def test_imputation(spark):
     train = spark.createDataFrame([("b", 1.0, "x", None), ("a", 3.0, "x", None), ("a", None, "y", None), ("b", 9.0, "y", None)],
                                   "m string, n double, g string, e double")
-    plan = PR.ImputationPlan(numeric_median=["e"], categorical_mode=["m"], grouped_median={"n": "g"}, missing_flags=["n"])
+    plan = [PR.Fill("e", "median"), PR.Fill("m", "mode"), PR.Fill("n", "median", within="g", flag=True)]
     with pytest.warns(UserWarning, match="'e'"):
-        stats = PR.fit_imputation(train, plan)
+        stats = PR.learn_fills(train, plan)
     test = spark.createDataFrame([(None, None, "x", None), (None, None, "new", 1.0)], train.schema)
-    got = [(r["m"], r["n"], r["e"], r["n_was_missing"]) for r in PR.apply_imputation(test, plan, stats).orderBy("n").collect()]
+    got = [(r["m"], r["n"], r["e"], r["n_was_missing"]) for r in PR.fill_missing(test, plan, stats).orderBy("n").collect()]
     assert got == [("a", 2.0, None, 1), ("a", 3.0, 1.0, 1)]
     with pytest.raises(KeyError):
-        PR.fit_imputation(train, PR.ImputationPlan(numeric_median=["nope"]))
+        PR.learn_fills(train, [PR.Fill("nope", "median")])
