@@ -367,6 +367,27 @@ def test_scores_and_base_counts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.1
 
 
+def test_all_training_documents_are_learned(spark):
+    rows = [(b, 10 * b + i, 0, [2 + 4 * b, 3 + 4 * b, 5 + 4 * b] * 80 + [lm.END], 241, 0.0) for b in range(3) for i in range(4)]
+    coded = spark.createDataFrame(rows, "batch long, doc_id long, turn int, codes array<short>, n_tokens long, base_score double")
+    pairs, n = lm._pairs(coded)
+    assert n == 12 * 11 and pairs.sum() == 12 * 241 and pairs[lm.END, 2] == 4 and pairs[5, 2] == 4 * 79 and pairs[5, lm.END] == 4 and pairs[3, 2] == 0
+    start = lm.Attention.start(np.full(lm.CODES, 1 / lm.CODES))
+    learned = lm._round(coded, start, 100, (0.0, 0.5))
+    again = lm._round(coded.repartition(5), start, 100, (0.0, 0.5))
+    assert all((learned.p[k] == again.p[k]).all() for k in learned.p)
+    for b in range(3):                                # each batch left its mark on the mean
+        x, y, use, _ = lm.windows(np.array(rows[4 * b][3]), np.array([0, 241]))
+        assert np.log(learned.prob(x, y)[use]).mean() > np.log(start.prob(x, y)[use]).mean() + 0.5
+
+
+def test_training_has_no_most_steps(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Attention, "gradients", lambda self, x, y, use: (seen.append(int(use.sum())), (0.0, {}))[1])
+    lm.train(lm.Attention.start(np.full(lm.CODES, 1 / lm.CODES)), np.full(24 * 230_000, 2), np.array([0, 24 * 230_000]))
+    assert sum(seen) == 24 * 230_000
+
+
 def test_scores_of_nothing(nothing):
     assert lm.score(nothing, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
