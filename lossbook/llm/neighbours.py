@@ -5,7 +5,7 @@ A tree is the sorted array of the hashes, so all vectors that share a prefix lie
 down every tree to its longest matching prefix; then all trees go up together, one bit at a time, and the
 vectors that join are candidates, measured exactly. The ascent ends when a vector as near as the worst
 neighbour held so far would have been met in some tree but for a chance below `miss`: that follows from
-its angle, the depth and the number of trees. So clustered data end early and data without structure go on.
+the largest angle that the lengths of the block's vectors allow, the depth and the number of trees. So clustered data end early and data without structure go on.
 
 Vectors are dealt into blocks, queries into blocks, and each pair of blocks is a task of bounded size. Only
 k neighbours for each query leave it, and the best of these are the answer.
@@ -44,7 +44,8 @@ class Forest:
         hashes = self.hash(vectors)
         self.order = np.argsort(hashes, 1, kind="stable")
         self.sorted = np.take_along_axis(hashes, self.order, 1)
-        self.norm = float(np.median(np.linalg.norm(vectors - centre, axis=1)))
+        norms = np.linalg.norm(vectors - centre, axis=1)
+        self.least, self.most = float(norms.min()), float(norms.max())
 
     def hash(self, vectors: np.ndarray) -> np.ndarray:
         """(trees, vectors) strings as integers."""
@@ -52,8 +53,13 @@ class Forest:
         return (bits @ (1 << np.arange(self.plan.bits - 1, -1, -1))).T
 
     def agreement(self, query: np.ndarray, distance: float) -> float:
-        """Chance that one bit of the query equals that of a vector at this distance."""
-        a, b = max(float(np.linalg.norm(query - self.centre)), 1e-12), max(self.norm, 1e-12)
+        """Least chance that one bit of the query equals that of a vector within this distance, of any length in the block."""
+        a = max(float(np.linalg.norm(query - self.centre)), 1e-12)
+        # the widest angle is at the length of a tangent's end, or at the possible length next to it
+        low, high = max(self.least, a - distance), min(self.most, a + distance)
+        b = min(max(np.sqrt(max(a * a - distance * distance, 0.0)), low), high)
+        if b < 1e-12:
+            return 0.0
         return 1 - float(np.arccos(np.clip((a * a + b * b - distance * distance) / (2 * a * b), -1, 1))) / np.pi
 
     def nearest(self, query: np.ndarray, hashes: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

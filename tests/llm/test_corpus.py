@@ -294,6 +294,22 @@ def test_forest_recall_and_ties(spark):
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_forest_recall_with_mixed_lengths():
+    rng = np.random.default_rng(4)
+    way = rng.normal(size=(40, 16))
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    length = np.repeat([0.3, 1.0, 1.0, 1.0, 12.0], 400)
+    x = way[rng.integers(0, 40, 2000)] * length[:, None] + 0.5 * length[:, None] * rng.normal(size=(2000, 16)) / 4
+    forest, ids = neighbours.Forest(x, np.zeros(16), neighbours.ForestPlan()), np.arange(2000)
+    hits = {}
+    for q in range(0, 2000, 20):
+        at, _ = forest.nearest(x[q], forest.hash(x[q:q + 1])[:, 0], ids == q, ids, 10)
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        hits.setdefault(length[q], []).append(len(set(at) & set(np.argsort(far)[:10])) / 10)
+    assert min(np.mean(h) for h in hits.values()) > 0.9, {k: np.mean(h) for k, h in hits.items()}
+
+
 # ------------------------------------------------------------------ 7: pages
 
 @pytest.mark.parametrize("page, text", [
