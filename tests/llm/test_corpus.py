@@ -99,6 +99,15 @@ def test_near_duplicates_edge_rows(edges, nothing):
     assert sorted(str(r.doc_id) for r in dedup.keep_one(edges).collect()) == ["1", "2", "3", "4", "5", "None"]
 
 
+def test_pipeline_joins_documents_four_fifths_alike(spark):
+    import corpus_pipeline
+    base = [f"w{i}" for i in range(104)]                                     # 100 shingles, 5 changed by a word
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:50], "x", *base[51:80], "y", *base[81:]])), (3, "quite another text with words of its own")]
+    assert jaccard_groups(rows, 85) != jaccard_groups(rows, 80) == {1: 1, 2: 1, 3: 3}
+    got = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64))
