@@ -3,8 +3,9 @@
 The page becomes a tree. Every node has its characters, tags, link characters and link tags; its composite
 density is characters per tag, discounted for links. The node with the largest sum of child densities is
 the heart of the text, the smallest density on its path to the body is the threshold, and each part of
-the page that reaches the threshold gives its own maximum-sum subtree. Navigation, forms, scripts and
-parts that call themselves adverts, notices, sidebars or comments never count.
+the page that reaches the threshold gives its own maximum-sum subtree. Navigation, forms, scripts and hidden
+parts never count, nor do parts that call themselves adverts or comments. Those that call themselves notices or
+sidebars do only where they hold most of the page's text: there the density decides.
 """
 
 from __future__ import annotations
@@ -35,17 +36,27 @@ CALLED = frozenset("ad ads adv advert adverts advertisement advertising banner s
                    "popup modal overlay sidebar aside side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social "
                    "related recommended comment comments commentlist disqus replies respond newsletter subscribe signup login search searchbox form pagination pager "
                    "widget skip complementary contentinfo dialog hidden".split())
+# Those that say whose text it is; such a part stays out however much of the page it holds.
+FIRM = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr comment comments "
+                 "commentlist disqus replies respond newsletter".split())
+# Words that make a whole name a called one whatever follows, and words that say nothing beside a called one.
+PREFIXES = frozenset("ad ads advert advertisement banner cookie gdpr sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus newsletter "
+                     "widget related popup modal sponsored promo footer pagination".split())
+PARTS = frozenset("site page main global top bottom left right primary secondary js bar box button buttons link links list item items container wrapper wrap block "
+                  "section area panel inner outer holder icon icons title".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)             # the attribute, not a word of a value
+_UNSHOWN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "sum", "marked")
+    __slots__ = ("tag", "parent", "kids", "drop", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum", "marked")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop, self.kids = tag, parent, drop, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: bool = False):
+        self.tag, self.parent, self.drop, self.named, self.kids = tag, parent, drop or named, named and not drop, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.marked = False
@@ -56,9 +67,38 @@ def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
         return True
     if not attrs.strip() or tag in ("body", "html", "article", "main"):
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(w.lower() in CALLED for m in _NAME.finditer(attrs) for w in _WORDS.findall(m[1] or m[2] or m[3] or ""))
+    return bool(_HIDDEN.search(_QUOTED.sub("''", attrs)) or _UNSHOWN.search(attrs))
+
+
+def _called(tag: str, attrs: str) -> int:
+    """1 where a class, id or role as a whole is the name of a part that is not text, 2 where one is a firm name."""
+    if not attrs.strip() or tag in ("body", "html", "article", "main"):
+        return 0
+    out = 0
+    for m in _NAME.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if words and (words[0] in PREFIXES or any(w in CALLED for w in words) and all(w in CALLED or w in PARTS for w in words)):
+                out = max(out, 2 if any(w in FIRM for w in words) else 1)
+    return out
+
+
+def _release(root: Node) -> None:
+    """Let parts that are dropped only by their name count where they hold more than half of the page's text."""
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.named or not n.drop:
+            nodes.append(n)
+            todo += [k for k in n.kids if isinstance(k, Node)]
+    if not any(n.named for n in nodes):
+        return
+    chars: dict[int, int] = {}
+    for n in reversed(nodes):
+        chars[id(n)] = sum(len(k.strip()) if isinstance(k, str) else chars.get(id(k), 0) for k in n.kids)
+    for n in nodes:
+        if n.named and 2 * chars[id(n)] > chars[id(root)]:
+            n.drop = False
 
 
 def parse(page: str) -> Node:
@@ -100,7 +140,8 @@ def parse(page: str) -> Node:
                 here = up.parent
         if tag in ("html", "body") and any(p.tag == tag for p in _path(here)):
             continue
-        node = Node(tag, here, _boilerplate(tag, m[3], articles > 0))
+        called = _called(tag, m[3])
+        node = Node(tag, here, called == 2 or _boilerplate(tag, m[3], articles > 0), called == 1)
         here.kids.append(node)
         if tag not in VOID and not m[3].rstrip().endswith("/") or tag in ("a", "p", "div", "span"):
             here = node
@@ -190,6 +231,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _release(root)
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     inside = [n for n in _order(body) if n.chars and n.tag not in INLINE]

@@ -334,6 +334,15 @@ def test_main_text(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout-with-aside", "page no-comments", "share-price", "side-by-side", "overflow hidden", "sidebar"])
+def test_wrappers_of_the_text_count(name):
+    text = "Long text of the page itself, and more of it.\nAnother part of the text, as long as the first one."
+    paragraphs = "".join(f"<p>{t}</p>" for t in text.split("\n"))
+    assert html.extract(f"<body><div class='{name}'>{paragraphs}<div class='sidebar-left'>Read more</div></div><div class='ad-top'>Buy this</div></body>") == text
+    if name in ("share-price", "side-by-side"):       # also where they hold less than half of it
+        assert html.extract(f"<body><article><p>{text[:45]}</p><div class='{name}'><p>More text of it.</p></div></article></body>").endswith("More text of it.")
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (3, "u", f"<p>{LONG}</p>", "x"), (3, "u", f"<p>{LONG}</p>", "x"), (None, "u", "<p>a b", "x")]
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
