@@ -85,11 +85,10 @@ def _em(prob: np.ndarray, n: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
     return share, np.add.reduceat(n * np.log(whole), starts)
 
 
-def infer(texts: pa.Array, model: Model, penalty: float = 3.0, most: int = 4, rounds: int = 12) -> np.ndarray:
+def infer(texts: pa.Array, model: Model, penalty: float = 3.0, rounds: int = 12) -> np.ndarray:
     """(texts, languages) proportions of the chosen languages; zeros where a text has no letters.
 
-    `penalty` times the logarithm of the number of trigrams is what another language has to gain;
-    `most` is how many a document may have.
+    `penalty` times the logarithm of the number of trigrams is what another language has to gain.
     """
     out = np.zeros((len(texts), len(model.langs)))
     doc, bucket = trigrams(texts)
@@ -104,7 +103,7 @@ def infer(texts: pa.Array, model: Model, penalty: float = 3.0, most: int = 4, ro
     rank = np.argsort(np.argsort(-share, 1, kind="stable"), 1)
     cost = penalty * np.log(np.add.reduceat(n, starts) + 1)
     best, value, growing = None, None, np.ones(len(docs), bool)
-    for k in range(1, min(most, len(model.langs)) + 1):
+    for k in range(1, len(model.langs) + 1):
         inside = np.where(rank < k, np.maximum(share, 1e-6), 0.0)
         inside, like = _em(prob, n, starts, sizes, inside / inside.sum(1, keepdims=True), 0 if k == 1 else rounds)
         like = like - cost * (k - 1)

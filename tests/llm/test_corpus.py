@@ -281,6 +281,15 @@ def test_language_edge_rows(edges, nothing):
     assert langid.predict(edges, langid.fit(edges)).count() == len(EDGES) and langid.predict(nothing, langid.fit(edges)).count() == 0
 
 
+def test_a_document_may_have_all_languages():
+    words = ["abcabcabc", "defdefdef", "ghighighi", "jkljkljkl", "mnomnomno", "pqrpqrpqr"]
+    prob = np.full((1 << langid.BITS, len(words)), 1e-7)
+    for k, w in enumerate(words):
+        prob[langid.trigrams(pa.array([w]))[1], k] = 0.1
+    share = langid.infer(pa.array([" ".join(words * 40)]), langid.Model([f"l{k}" for k in range(len(words))], prob))[0]
+    assert (share > 0.1).all()
+
+
 # ------------------------------------------------------------------ 6: neighbours
 
 def test_forest_recall_and_ties(spark):
