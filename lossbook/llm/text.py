@@ -60,6 +60,40 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return before[ends], flat.filter(keep)
 
 
+def byte_table(separators: bytes, breaks: bytes = b"") -> bytes:
+    """For `cut`: A-Z are lower-cased, separators end a word, breaks end a word and a piece."""
+    out = bytearray(range(256))
+    out[65:91] = bytes(range(97, 123))
+    for c in separators:
+        out[c] = 32
+    for c in breaks:
+        out[c] = 10
+    return bytes(out)
+
+
+def cut(texts: pa.Array, table: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of texts without nulls: offsets per text, the flat words, and for each word the number of its piece."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(len(texts) + 1, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64)
+    raw = np.frombuffer(memoryview(texts.buffers()[2])[offsets[0]:offsets[-1]].tobytes().translate(table), np.uint8)
+    offsets -= offsets[0]
+    keep = (raw != 32) & (raw != 10)
+    edge = np.ones(len(raw) + 1, bool)                    # whether a word cannot go on across the place before byte i
+    edge[1:-1] = ~keep[:-1]
+    edge[offsets] = True
+    starts = np.flatnonzero(keep & edge[:-1])
+    ends_at = np.ones(len(raw), bool)
+    ends_at[:-1] = ~keep[1:]
+    ends_at[offsets[(offsets > 0)] - 1] = True
+    ends = np.flatnonzero(keep & ends_at) + 1
+    lengths = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(lengths), pa.py_buffer(np.ascontiguousarray(raw[keep])))
+    per_text = np.searchsorted(starts, offsets)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(per_text))
+    return per_text, words, np.searchsorted(np.flatnonzero(raw == 10), starts) + text_of
+
+
 def encode_words(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Index of every word in the list of distinct words, and that list."""
     if len(flat) == 0:
