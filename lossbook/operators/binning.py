@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lossbook.operators.ranking import distinct_counts, quantile_grid, sketch, unpivot
+from lossbook.operators.ranking import distinct_counts, quantile_grid, unpivot
 
 MISSING = "<missing>"
 
@@ -17,10 +17,9 @@ MISSING = "<missing>"
 def bin_edges(numeric: DataFrame, bins: int, by: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
     """(by, edges) of the groups with more than `bins` distinct values; duplicate edges dropped."""
     by = list(by)
-    rough = sketch(numeric, by, value)
     many = distinct_counts(numeric, by, value).filter(F.col("distinct") > bins).select(*by)
     rows = numeric.join(many, by, "left_semi")
-    grid = quantile_grid(rows, bins, by, value, rough)
+    grid = quantile_grid(rows, bins, by, value)
     return grid.select(*by, F.array_distinct("grid").alias("edges"))
 
 

@@ -1,9 +1,11 @@
 """Exact order statistics without a global sort in one task.
 
-Values are first cut into 64 parts by approximate quantile edges (a mergeable sketch, so no
-shuffle of rows). Counts per part then tell in which parts the wanted ranks lie, and only
-those parts are ordered exactly. The edges decide how work is split, never the result. They
-are written to a stage table, so every later use sees the same edges, also after a retry.
+A group of more than BUDGET rows is cut into parts by approximate quantile edges (a mergeable sketch, so no shuffle of
+rows); parts that may still be above the budget are cut again, and so on. The depth follows from the size of
+the largest group: a cut by 63 edges leaves at most a fiftieth of the rows in a part, but for rows of one value, which
+get a part of their own and are one row in a tally. Totals of parts are summed up the levels and prefix-summed down
+them, so no window sees more than the children of one part. The edges decide how work is split, never the result. They are
+written to a stage table, so every later use sees the same edges, also after a retry. NULL keys are a group.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from lossbook.session import stage
 
+BUDGET = 1_000_000                      # rows that one task may order
+EDGES, ACCURACY, SHRINK = 63, 2000, 50
 _STEPS = (32, 16, 8, 4, 2, 1)
-PARTS = 64
+_BITS = 7                               # bits of a part's number that one cut adds
 _ALL = "_all"
 
 
@@ -27,62 +31,82 @@ def unpivot(frame: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
     return cols.unpivot(list(keep), list(features), "feature", "value")
 
 
-def sketch(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Per group the 63 inner edges of the parts and a rough count of distinct values."""
-    probs = [i / PARTS for i in range(1, PARTS)]
-    return stage(rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.percentile_approx(value, probs, 2000).alias("_edges"),
-        F.approx_count_distinct(value).alias("_distinct")), "sketch")
-
-
-def with_part(rows: DataFrame, edges: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Add `_part`, the number of edges below the value, by a six-step halving search."""
-    out = rows.join(edges.select(*by, "_edges"), list(by)).withColumn("_part", F.lit(0))
-    for step in _STEPS:
-        probe = F.element_at("_edges", F.col("_part") + step)
-        out = out.withColumn("_part", F.col("_part") + F.when(probe < F.col(value), step).otherwise(0))
-    return out.drop("_edges")
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the keys are those of the left side."""
+    right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
+def depth_of(rows: DataFrame, by: Sequence[str], budget: int) -> int:
+    """Cuts after which no part of any group is above the budget."""
+    n = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = 0
+    while n > budget:
+        n, depth = -(-n // SHRINK), depth + 1
+    return depth
+
+
+def with_parts(rows: DataFrame, by: Sequence[str], value: str, depth: int) -> DataFrame:
+    """Add `_part`, a number that rises with the value within a group, by `depth` cuts."""
+    probs = [i / (EDGES + 1) for i in range(1, EDGES + 1)]
+    rows = rows.withColumn("_part", F.lit(0).cast("long"))
+    for level in range(depth):
+        keys = [*by, "_part"]
+        edges = stage(rows.groupBy(*keys).agg(F.percentile_approx(value, probs, ACCURACY).alias("_edges")), f"edges-{level}")
+        out = join_on(rows, edges, keys).withColumn("_below", F.lit(0))
+        for step in _STEPS:
+            out = out.withColumn("_below", F.col("_below") + F.when(F.element_at("_edges", F.col("_below") + step) < F.col(value), step).otherwise(0))
+        same = F.coalesce(F.get("_edges", "_below") == F.col(value), F.lit(False)).cast("int")
+        rows = out.withColumn("_part", F.shiftleft("_part", _BITS) + 2 * F.col("_below") + same).drop("_edges", "_below")
+    return rows
+
+
+def part_offsets(totals: DataFrame, by: Sequence[str], sums: Sequence[str], depth: int) -> DataFrame:
+    """For (by, _part, sums), one row per part: `<column>_before` over the parts before, and `<column>_all`."""
+    by, up = list(by), F.shiftright("_part", _BITS)
+    current, levels = stage(totals, "parts"), []
+    for _ in range(depth):
+        before = Window.partitionBy(*by, up).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        levels.append(current.select(*by, "_part", up.alias("_up"), *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_own_{s}") for s in sums]))
+        current = current.groupBy(*by, up.alias("_part")).agg(*[F.sum(s).alias(s) for s in sums])
+    out = current.select(*by, "_part", *[(F.col(s) - F.col(s)).alias(f"{s}_before") for s in sums], *[F.col(s).alias(f"{s}_all") for s in sums])
+    for level in reversed(levels):
+        out = join_on(level, out.withColumnRenamed("_part", "_up"), [*by, "_up"]).select(
+            *by, "_part", *[(F.col(f"_own_{s}") + F.col(f"{s}_before")).alias(f"{s}_before") for s in sums], *[f"{s}_all" for s in sums])
+    return out
 
 
-def running_totals(tallied: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (),
-                   edges: DataFrame | None = None) -> DataFrame:
+def running_totals(tallied: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), budget: int | None = None) -> DataFrame:
     """For rows that are unique per (by, value): the sum of each column over smaller values.
 
     Adds `<column>_before` and `<column>_all` (the group's total).
     """
     by = list(by)
-    rows = tallied if by else tallied.withColumn(_ALL, F.lit(0))
+    rows = stage(tallied if by else tallied.withColumn(_ALL, F.lit(0)), "tally")
     keys = by or [_ALL]
-    edges = edges if edges is not None else sketch(rows, keys, value)
-    parted = with_part(rows, edges, keys, value)
-    order = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*keys)
-    totals = parted.groupBy(*keys, "_part").agg(*[F.sum(s).alias(s) for s in sums]).select(
-        *keys, "_part",
-        *[F.coalesce(F.sum(s).over(order), F.lit(0)).alias(f"_off_{s}") for s in sums],
-        *[F.sum(s).over(group).alias(f"{s}_all") for s in sums])
+    depth = depth_of(rows, keys, budget or BUDGET)
+    if depth == 0:
+        before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(*tallied.columns, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums],
+                           *[F.sum(s).over(Window.partitionBy(*keys)).alias(f"{s}_all") for s in sums])
+    parted = with_parts(rows, keys, value, depth)
+    totals = part_offsets(parted.groupBy(*keys, "_part").agg(*[F.sum(s).alias(s) for s in sums]), keys, sums, depth)
     inner = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = parted.join(totals, [*keys, "_part"]).select(
-        *tallied.columns,
-        *[(F.col(f"_off_{s}") + F.coalesce(F.sum(s).over(inner), F.lit(0))).alias(f"{s}_before") for s in sums],
+    return join_on(parted, totals, [*keys, "_part"]).select(
+        *tallied.columns, *[(F.col(f"{s}_before") + F.coalesce(F.sum(s).over(inner), F.lit(0))).alias(f"{s}_before") for s in sums],
         *[f"{s}_all" for s in sums])
-    return out
 
 
-def quantile_grid(rows: DataFrame, m: int, by: Sequence[str], value: str,
-                  edges: DataFrame | None = None) -> DataFrame:
+def quantile_grid(rows: DataFrame, m: int, by: Sequence[str], value: str, count: str | None = None, budget: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles at 0, 1/m, ..., 1 of every group: (by, n, grid array).
 
-    Rank j sits at j*(n-1)/m; whole and fractional parts come from integer arithmetic.
+    Rank j sits at j*(n-1)/m; whole and fractional parts come from integer arithmetic. With `count` the rows are a tally.
     """
     by = list(by)
-    rows = rows.select(*by, value).filter(F.col(value).isNotNull())
-    edges = edges if edges is not None else sketch(rows, by, value)
-    parted = with_part(rows, edges, by, value)
-    order = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    hist = parted.groupBy(*by, "_part").agg(F.count("*").alias("_cnt")).select(
-        *by, "_part", F.coalesce(F.sum("_cnt").over(order), F.lit(0)).alias("_before"),
-        "_cnt", F.sum("_cnt").over(Window.partitionBy(*by)).alias("_n"))
+    rows = rows.filter(F.col(value).isNotNull()).select(*by, value, (F.col(count) if count else F.lit(1)).cast("long").alias("_cnt"))
+    depth = depth_of(rows, by, budget or BUDGET)
+
     # first and last grid index whose neighbouring ranks can fall inside [low, high]
     def grid_range(low: Column, high: Column) -> tuple[Column, Column]:
         span = F.greatest(F.col("_n") - 1, F.lit(1))
@@ -90,13 +114,20 @@ def quantile_grid(rows: DataFrame, m: int, by: Sequence[str], value: str,
         last = F.least(F.ceil((high + 1) * m / span), F.lit(m)).cast("int")
         return F.when(F.col("_n") == 1, 0).otherwise(first), F.when(F.col("_n") == 1, m).otherwise(last)
 
-    first, last = grid_range(F.col("_before"), F.col("_before") + F.col("_cnt") - 1)
-    wanted = hist.filter(first <= last)
-    chosen = wanted.select(*by, "_part", "_before", "_n")
-    counted = (parted.join(chosen, [*by, "_part"])
-               .groupBy(*by, "_part", "_before", "_n", value).agg(F.count("*").alias("_cnt")))
-    run = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("_low", F.col("_before") + F.coalesce(F.sum("_cnt").over(run), F.lit(0)))
+    if depth == 0:
+        run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        placed = rows.groupBy(*by, value).agg(F.sum("_cnt").alias("_cnt")).select(
+            "*", F.coalesce(F.sum("_cnt").over(run), F.lit(0)).alias("_low"), F.sum("_cnt").over(Window.partitionBy(*by)).alias("_n"))
+    else:
+        parted = with_parts(rows, by, value, depth)
+        sizes = stage(parted.groupBy(*by, "_part").agg(F.sum("_cnt").alias("_size")), "sizes")
+        hist = join_on(sizes, part_offsets(sizes, by, ["_size"], depth), [*by, "_part"]).select(
+            *by, "_part", "_size", F.col("_size_before").alias("_before"), F.col("_size_all").alias("_n"))
+        first, last = grid_range(F.col("_before"), F.col("_before") + F.col("_size") - 1)
+        counted = join_on(parted, hist.filter(first <= last).drop("_size"), [*by, "_part"]).groupBy(*by, "_part", "_before", "_n", value).agg(
+            F.sum("_cnt").alias("_cnt"))
+        run = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("_low", F.col("_before") + F.coalesce(F.sum("_cnt").over(run), F.lit(0)))
     placed = placed.withColumn("_high", F.col("_low") + F.col("_cnt") - 1)
     first, last = grid_range(F.col("_low"), F.col("_high"))
     hits = placed.filter(first <= last).withColumn("_j", F.explode(F.sequence(first, last)))
@@ -118,10 +149,10 @@ def quantile_grid(rows: DataFrame, m: int, by: Sequence[str], value: str,
             .select(*by, "n", F.col("_g.q").alias("grid")))
 
 
-def average_ranks(rows: DataFrame, by: Sequence[str], value: str, edges: DataFrame | None = None) -> DataFrame:
+def average_ranks(rows: DataFrame, by: Sequence[str], value: str, budget: int | None = None) -> DataFrame:
     """(by, value, rank): tied values share their mean rank, ranks start at 1."""
     t = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_cnt"))
-    r = running_totals(t, value, ["_cnt"], by, edges)
+    r = running_totals(t, value, ["_cnt"], by, budget)
     return r.select(*by, value, (F.col("_cnt_before") + (F.col("_cnt") + 1) / 2).alias("rank"))
 
 

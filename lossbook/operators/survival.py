@@ -1,17 +1,21 @@
 """Survival metrics under censoring (M8-M10): weighted concordance, dynamic AUC, Brier score.
 
 Time is the whole number of months on book, so tables keyed by time have at most the longest
-term as rows. Risk scores go through the distributed running totals of `ranking`.
+term as rows. Risk scores are cut into parts like the order statistics of `ranking`.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossbook.operators.ranking import running_totals
+from lossbook.operators.ranking import depth_of, part_offsets, with_parts
 from lossbook.session import stage
 
+PART_ROWS = 200_000                     # distinct (score, month) rows that one task orders
+
 
 def censoring_survival(train: DataFrame) -> DataFrame:
     """Kaplan-Meier curve of staying uncensored, per month: (t, G). Events count before censorings."""
@@ -49,26 +53,61 @@ def _with_weight(test: DataFrame, censoring: DataFrame) -> DataFrame:
         "_w", F.when(F.col("is_event") & (F.col("G") > 0), 1 / F.col("G")))
 
 
-def ipcw_concordance(train: DataFrame, test: DataFrame, risk: str) -> DataFrame:
+def _scored_pairs(rows: DataFrame, times: list[int], own_month: bool, budget: int) -> DataFrame:
+    """(t, right, weight, controls) for each time: cases against loans followed beyond t.
+
+    `rows` is (T_obs, is_event, r, _w, last). Cases of t are the events of that month (`own_month`) or up to it, controls the loans
+    with last >= t. `weight` sums the weights of the cases, `right` the weights times the controls with a lower score, ties counting half.
+
+    Equal rows merge first; then they are cut into parts by score. The controls of each part, one counter per time, are
+    prefix-summed over the parts level by level, and each part adds its own running counts. So every row is shuffled once and
+    neither pairs nor months are laid out.
+    """
+    tally = stage(rows.groupBy("r", "T_obs", "is_event", "_w", "last").agg(F.count("*").alias("n")).filter(F.col("r").isNotNull()).withColumn(
+        "_g", F.lit(0)), "survival")
+    depth = depth_of(tally, ["_g"], budget)
+    parted = stage(with_parts(tally, ["_g"], "r", depth), "survival-parts") if depth else tally.withColumn("_part", F.lit(0).cast("long"))
+    names = [f"c{t}" for t in times]
+    totals = parted.groupBy("_g", "_part").agg(*[F.sum(F.when(F.col("last") >= t, F.col("n")).otherwise(0)).alias(c) for t, c in zip(times, names)])
+    offsets = part_offsets(totals, ["_g"], names, depth).select(
+        "_part", F.array(*[f"{c}_before" for c in names]).alias("before"), F.array(*[f"{c}_all" for c in names]).alias("all"))
+
+    def run(have: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        if have.num_rows:
+            have = have.sort_by([("r", "ascending")])
+            r, T, last, n, w = (have.column(c).fill_null(0).to_numpy() for c in ("r", "T_obs", "last", "n", "_w"))
+            event = have.column("is_event").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1], [True]]))
+            tied = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            before, every = known.column("before")[0].as_py(), known.column("all")[0].as_py()
+            for k, t in enumerate(times):
+                case = event & ((T == t) if own_month else (T <= t))
+                if case.any():
+                    upto = np.concatenate([[0], np.cumsum(np.where(last >= t, n, 0))])[edge]
+                    lower = before[k] + (upto[tied[case]] + upto[tied[case] + 1]) / 2
+                    heavy = w[case] * n[case]
+                    out.append((t, float((heavy * lower).sum()), float(heavy.sum()), every[k]))
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("t", "right", "weight", "controls"), cols, (pa.int64(), pa.float64(), pa.float64(), pa.int64()))})
+
+    found = parted.groupBy("_part").cogroup(offsets.groupBy("_part")).applyInArrow(run, "t long, right double, weight double, controls long")
+    return found.groupBy("t").agg(F.sum("right").alias("right"), F.sum("weight").alias("weight"), F.max("controls").alias("controls"))
+
+
+def ipcw_concordance(train: DataFrame, test: DataFrame, risk: str, budget: int = PART_ROWS) -> DataFrame:
     """Share of comparable pairs in the right order, weighted by 1/G(T)^2 of the earlier event.
 
     An event at month t is comparable with every loan followed longer and with every loan
-    censored in that same month. Loans are laid out by the event months they outlive (a
-    loan-month table, merged per month and score before the shuffle); pairs are never formed.
+    censored in that same month.
     """
-    rows = _with_weight(test.select("T_obs", "is_event", F.col(risk).alias("r")), stage(censoring_survival(train), "km"))
-    last = F.when(F.col("is_event"), F.col("T_obs") - 1).otherwise(F.col("T_obs"))
-    controls = (rows.filter(last >= 1).withColumn("t", F.explode(F.sequence(F.lit(1).cast("long"), last)))
-                .groupBy("t", "r").agg(F.count("*").alias("later"), F.lit(0.0).alias("w"))
-                .select("t", "r", "later", "w"))
-    cases = (rows.filter("is_event").groupBy(F.col("T_obs").alias("t"), "r")
-             .agg(F.lit(0).cast("long").alias("later"), F.sum(F.col("_w") * F.col("_w")).alias("w"))
-             .select("t", "r", "later", "w"))
-    tally = controls.unionByName(cases).groupBy("t", "r").agg(F.sum("later").alias("later"), F.sum("w").alias("w"))
-    events = cases.select("t").distinct()
-    ranked = running_totals(tally.join(F.broadcast(events), "t", "left_semi"), "r", ["later"], ["t"])
-    right = F.sum(F.col("w") * (F.col("later_before") + F.col("later") / 2))
-    return ranked.agg(F.try_divide(right, F.sum(F.col("w") * F.col("later_all"))).alias("concordance_ipcw"))
+    rows = _with_weight(test.select("T_obs", "is_event", F.col(risk).cast("double").alias("r")), stage(censoring_survival(train), "km"))
+    last = F.when(F.col("is_event"), F.col("T_obs") - 1).otherwise(F.col("T_obs")).cast("long")
+    rows = rows.select("r", F.col("T_obs").cast("long").alias("T_obs"), "is_event", (F.col("_w") * F.col("_w")).alias("_w"), last.alias("last"))
+    # one row per event month
+    months = sorted(r[0] for r in rows.filter("is_event").select("T_obs").distinct().collect())
+    pairs = _scored_pairs(rows, months, True, budget)
+    return pairs.agg(F.try_divide(F.sum("right"), F.sum(F.col("weight") * F.col("controls"))).alias("concordance_ipcw"))
 
 
 def evaluation_times(train: DataFrame, test: DataFrame, step: int = 6) -> list[int]:
@@ -81,18 +120,13 @@ def _grid(times: list[int]):
     return F.array(*[F.lit(t).cast("long") for t in times])
 
 
-def dynamic_auc(train: DataFrame, test: DataFrame, risk: str, times: list[int]) -> DataFrame:
+def dynamic_auc(train: DataFrame, test: DataFrame, risk: str, times: list[int], budget: int = PART_ROWS) -> DataFrame:
     """(t, auc): defaults up to t against loans still alive after t; defaults weigh 1/G(T)."""
-    rows = _with_weight(test.select("T_obs", "is_event", F.col(risk).alias("r")), stage(censoring_survival(train), "km"))
-    t = F.col("t")
-    long = rows.withColumn("t", F.explode(_grid(times)))
-    case = F.when(F.col("is_event") & (F.col("T_obs") <= t), F.col("_w")).otherwise(0.0)
-    control = (F.col("T_obs") > t).cast("long")
-    tally = long.groupBy("t", "r").agg(F.sum(case).alias("w"), F.sum(control).alias("later"))
-    ranked = running_totals(tally, "r", ["later"], ["t"])
-    return ranked.groupBy("t").agg(
-        F.try_divide(F.sum(F.col("w") * (F.col("later_before") + F.col("later") / 2)),
-                     F.sum("w") * F.max("later_all")).alias("auc"))
+    rows = _with_weight(test.select("T_obs", "is_event", F.col(risk).cast("double").alias("r")), stage(censoring_survival(train), "km"))
+    rows = rows.select("r", F.col("T_obs").cast("long").alias("T_obs"), "is_event", "_w", (F.col("T_obs") - 1).cast("long").alias("last"))
+    grid = test.sparkSession.createDataFrame([(int(t),) for t in times], "t long")
+    pairs = _scored_pairs(rows, [int(t) for t in times], False, budget)
+    return grid.join(pairs, "t", "left").select("t", F.try_divide(F.col("right"), F.col("weight") * F.col("controls")).alias("auc"))
 
 
 def mean_dynamic_auc(auc: DataFrame, test: DataFrame) -> DataFrame:
