@@ -63,6 +63,8 @@ def _scored_pairs(rows: DataFrame, times: list[int], own_month: bool, budget: in
     prefix-summed over the parts level by level, and each part adds its own running counts. So every row is shuffled once and
     neither pairs nor months are laid out.
     """
+    if not times:
+        return rows.sparkSession.createDataFrame([], "t long, right double, weight double, controls long")
     tally = stage(rows.groupBy("r", "T_obs", "is_event", "_w", "last").agg(F.count("*").alias("n")).filter(F.col("r").isNotNull()).withColumn(
         "_g", F.lit(0)), "survival")
     depth = depth_of(tally, ["_g"], budget)
