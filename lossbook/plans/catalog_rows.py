@@ -20,6 +20,7 @@ from lossbook.session import new_path, stage
 from lossbook.sources import book as B
 from lossbook.sources import series as SE
 from lossbook.sources import tables as TB
+from lossbook.sources.keyed import KeyedTable
 
 POP = ["LoanOriginationDate", "LoanStatus"]
 
@@ -129,9 +130,15 @@ def results_sql(select: str) -> str:
 
 
 @query("s08_result_upsert", results_sql("""SELECT 'v1' AS version, model, value FROM res
-  UNION ALL SELECT 'v2', model, value+1 FROM res UNION ALL SELECT 'v3', model, value+1 FROM res"""), {"value": 9})
-def _(spark, d):
-    return RE.upsert(_results(spark, d), _results(spark, d, 1.0, ("v2", "v3")), ["version", "model"]).select("version", "model", "value")
+  UNION ALL SELECT 'v2', model, value+1 FROM res UNION ALL SELECT 'v3', model, value+2 FROM res"""), {"value": 9})
+def _(spark, d):
+    """A stored table after two upserts; the second repeats each of its keys."""
+    results = KeyedTable(spark, new_path(spark, "results"), ["version", "model"], buckets=4)
+    results.upsert(_results(spark, d).withColumn("run", F.lit(0)))
+    results.upsert(_results(spark, d, 1.0, ("v2", "v3")).withColumn("run", F.lit(1)))
+    again = _results(spark, d, 5.0, ("v3",)).withColumn("run", F.lit(2))
+    results.upsert(again.unionByName(_results(spark, d, 2.0, ("v3",)).withColumn("run", F.lit(3))), ["run"])
+    return results.read().select("version", "model", "value")
 
 
 @query("s09_result_append", results_sql("""SELECT 'v1' AS version, model, value FROM res
