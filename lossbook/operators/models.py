@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossbook import fixed_values as V
@@ -24,6 +25,7 @@ from lossbook.session import stage
 
 SEED = 42
 MISSING_NUMBER = -1.0       # trees take no null; -1 sets missing values apart
+_ASSEMBLED, _NUMBERS = "_assembled", "_numbers"
 
 
 def ordinal_sql(column: str) -> str:
@@ -43,7 +45,10 @@ def split_kinds(columns: Sequence[str]) -> tuple[list[str], list[str], list[str]
 
 
 def encoder(columns: Sequence[str], scale: bool = False) -> list:
-    """Stages from raw feature columns to `features`; an unseen nominal level becomes all zeros."""
+    """Stages from raw feature columns to `features`; an unseen nominal level becomes all zeros.
+
+    With `scale`, for linear models, numbers have mean 0 and spread 1, and ordinal and one-hot inputs have mean 0.
+    """
     numeric, ordinal, nominal = split_kinds(columns)
     number = "CAST({0} AS DOUBLE)" if scale else f"coalesce(CAST({{0}} AS DOUBLE), {MISSING_NUMBER}D)"
     exprs = [number.format(c) + f" AS {c}_num" for c in numeric] + [ordinal_sql(c) for c in ordinal]
@@ -51,14 +56,17 @@ def encoder(columns: Sequence[str], scale: bool = False) -> list:
     inputs = [f"{c}_num" for c in numeric]
     if scale and numeric:
         stages += [Imputer(strategy="median", inputCols=inputs, outputCols=[f"{c}_imp" for c in numeric]),
-                   VectorAssembler(inputCols=[f"{c}_imp" for c in numeric], outputCol="_numbers"),
-                   StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
+                   VectorAssembler(inputCols=[f"{c}_imp" for c in numeric], outputCol=_NUMBERS),
+                   StandardScaler(inputCol=_NUMBERS, outputCol="_scaled", withMean=True)]
         inputs = ["_scaled"]
     if nominal:
         stages += [StringIndexer(inputCols=nominal, outputCols=[f"{c}_idx" for c in nominal], handleInvalid="keep"),
                    OneHotEncoder(inputCols=[f"{c}_idx" for c in nominal], outputCols=[f"{c}_hot" for c in nominal])]
-    return stages + [VectorAssembler(inputCols=[*inputs, *[f"{c}_ord" for c in ordinal], *[f"{c}_hot" for c in nominal]],
-                                     outputCol="features")]
+    inputs += [*[f"{c}_ord" for c in ordinal], *[f"{c}_hot" for c in nominal]]
+    if not scale:
+        return stages + [VectorAssembler(inputCols=inputs, outputCol="features")]
+    return stages + [VectorAssembler(inputCols=inputs, outputCol=_ASSEMBLED),
+                     StandardScaler(inputCol=_ASSEMBLED, outputCol="features", withMean=True, withStd=False)]
 
 
 def pd_estimator(family: str, params: dict | None = None):
@@ -162,36 +170,101 @@ def fit_hazard(fit_rows: DataFrame, calibration_rows: DataFrame, columns: Sequen
     return CalibratedModel(model, _isotonic(model.transform(calibration_rows.withColumnRenamed(event, "label").select("label", *cols))))
 
 
-def feature_names(scored: DataFrame, column: str = "features") -> list[str]:
-    """Names of the vector slots, from the column's attributes."""
-    attrs = scored.schema[column].metadata["ml_attr"]["attrs"]
-    flat = [a for group in attrs.values() for a in group]
-    return [a.get("name", f"slot{a['idx']}") for a in sorted(flat, key=lambda a: a["idx"])]
+def feature_names(model: CalibratedModel, rows: DataFrame) -> list[str]:
+    """Names of the inputs of a fitted model, in the order of its vector."""
+    stages = model.pipeline.stages
+    outputs = {st.getOutputCol(): st for st in stages if isinstance(st, VectorAssembler)}
+    column = _ASSEMBLED if _ASSEMBLED in outputs else "features"
+    attrs = model.pipeline.transform(rows.limit(0)).schema[column].metadata["ml_attr"]["attrs"]
+    flat = sorted((a for group in attrs.values() for a in group), key=lambda a: a["idx"])
+    names = [a.get("name", f"slot{a['idx']}") for a in flat]
+    if _NUMBERS in outputs:                                  # the scaler forgets the names of its inputs
+        numbers = [c.removesuffix("_imp").removesuffix("_num") for c in outputs[_NUMBERS].getInputCols()]
+        names[:len(numbers)] = numbers
+    return [n.removesuffix("_num") for n in names]
+
+
+@dataclass
+class _Leaf:
+    """A leaf: its number in the tree and what each input adds on the way from the root to it."""
+
+    at: int
+    adds: dict[int, float]
+
+
+def _tree_value(node, probability: bool) -> float:
+    if not probability:
+        return node.prediction()
+    stats = list(node.impurityStats().stats())
+    return stats[1] / max(sum(stats), 1e-300)
+
+
+def _walk(node, x: Column, probability: bool, adds: dict[int, float], leaves: list[_Leaf]) -> Column:
+    """The number of the leaf that a row falls into, as nested conditions; fills `leaves`."""
+    if node.numDescendants() == 0:
+        leaves.append(_Leaf(len(leaves), dict(adds)))
+        return F.lit(len(leaves) - 1)
+    split, here = node.split(), _tree_value(node, probability)
+    f = split.featureIndex()
+    sides = []
+    for child in (node.leftChild(), node.rightChild()):
+        step = _tree_value(child, probability) - here
+        sides.append(_walk(child, x, probability, adds | {f: adds.get(f, 0.0) + step}, leaves))
+    if hasattr(split, "threshold") and "Continuous" in split.getClass().getName():
+        left = F.get(x, F.lit(f)) <= F.lit(float(split.threshold()))
+    else:
+        left = F.get(x, F.lit(f)).isin(*[float(c) for c in split.leftCategories()])
+    return F.when(left, sides[0]).otherwise(sides[1])
+
+
+def contributions(model: CalibratedModel, rows: DataFrame, key: str = "loan_id") -> DataFrame:
+    """(key, base, score, parts): what each input adds to the uncalibrated score of a row.
+
+    The score is the margin of boosted trees, the probability of a forest and the log-odds of a linear model; `parts` has one
+    number per name of `feature_names`, and base plus parts is the score. In a tree, an input adds the change of the node mean
+    at each split on it along the row's path; in a linear model its coefficient times its distance from the mean.
+    """
+    last, names = model.pipeline.stages[-1], feature_names(model, rows)
+    encoded = model.pipeline.transform(rows).select(key, vector_to_array("features").alias("_x"))
+    x = F.col("_x")
+    if hasattr(last, "coefficients"):
+        coef = F.array(*[F.lit(float(b)) for b in last.coefficients.toArray()])
+        out = encoded.select(key, F.lit(float(last.intercept)).alias("base"), F.zip_with(x, coef, lambda a, b: a * b).alias("parts"))
+    else:
+        forest = isinstance(last, RandomForestClassificationModel)
+        weights = [1.0 / len(last.trees)] * len(last.trees) if forest else last.treeWeights
+        base, leaf_columns, terms = 0.0, {}, {}
+        for i, (tree, w) in enumerate(zip(last.trees, weights)):
+            root, leaves = tree._call_java("rootNode"), []
+            base += w * _tree_value(root, forest)
+            leaf_columns[f"_leaf{i}"] = _walk(root, x, forest, {}, leaves)
+            for f in {f for leaf in leaves for f in leaf.adds}:
+                table = F.array(*[F.lit(w * leaf.adds.get(f, 0.0)) for leaf in leaves])
+                terms.setdefault(f, []).append(F.get(table, F.col(f"_leaf{i}")))
+        parts = [reduce(Column.__add__, terms[f]) if f in terms else F.lit(0.0) for f in range(len(names))]
+        out = encoded.select(key, *[c.alias(n) for n, c in leaf_columns.items()]).select(key, F.lit(base).alias("base"), F.array(*parts).alias("parts"))
+    return out.select(key, "base", (F.col("base") + F.aggregate("parts", F.lit(0.0), lambda a, b: a + b)).alias("score"), "parts")
 
 
 def global_drivers(model: CalibratedModel, rows: DataFrame, top: int = 12) -> DataFrame:
-    """Strongest model inputs: |coefficient| of a linear model, importance of a tree model."""
-    last = model.pipeline.stages[-1]
-    names = feature_names(model.pipeline.transform(rows.limit(1)))
-    values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
-    pairs = [(n, float(v)) for n, v in zip(names, values.toArray())]
-    return (rows.sparkSession.createDataFrame(pairs, "feature string, value double")
-            .orderBy(F.desc(F.abs("value")), "feature").limit(top))
+    """Strongest model inputs: |coefficient| of a linear model, mean size of the contribution to a tree model's score."""
+    last, names = model.pipeline.stages[-1], feature_names(model, rows)
+    if hasattr(last, "coefficients"):
+        pairs = [(n, float(v)) for n, v in zip(names, last.coefficients.toArray())]
+        out = rows.sparkSession.createDataFrame(pairs, "feature string, value double")
+    else:
+        parts = contributions(model, rows).select(F.posexplode_outer("parts").alias("slot", "part"))
+        total = rows.agg(F.count("*")).scalar()
+        sizes = parts.groupBy("slot").agg(F.sum(F.abs("part")).alias("size"))
+        out = sizes.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slot") + 1).alias("feature"), (F.col("size") / total).alias("value"))
+    return out.orderBy(F.desc(F.abs("value")), "feature").limit(top)
 
 
 def reason_codes(model: CalibratedModel, rows: DataFrame, top: int = 6, key: str = "loan_id") -> DataFrame:
-    """Per loan the largest signed log-odds contributions of a linear model, economy excluded.
-
-    Inputs are centered, so a contribution is coefficient times the distance from the mean.
-    """
-    encoded = model.pipeline.transform(rows)
-    names = feature_names(encoded)
-    coef = model.pipeline.stages[-1].coefficients.toArray()
-    kept = [(i, n, float(b)) for i, (n, b) in enumerate(zip(names, coef)) if not n.startswith(("macro_", "state_"))]
-    x = vector_to_array("features")
-    items = F.array(*[F.struct(F.lit(n).alias("feature"), (F.col("_x")[i] * F.lit(b)).alias("value")) for i, n, b in kept])
-    ordered = F.array_sort(F.transform(items, lambda s: F.struct((-F.abs(s["value"])).alias("o"), s["feature"].alias("feature"), s["value"].alias("value"))))
-    return (encoded.withColumn("_x", x).select(key, F.posexplode(F.slice(ordered, 1, top)).alias("pos", "r"))
+    """Per row the largest signed contributions to its score, economy excluded: (key, rank, feature, value)."""
+    names = feature_names(model, rows)
+    kept = [(i, n) for i, n in enumerate(names) if not n.startswith(("macro_", "state_"))]
+    items = F.array(*[F.struct((-F.abs(F.get("parts", F.lit(i)))).alias("o"), F.lit(n).alias("feature"), F.get("parts", F.lit(i)).alias("value")) for i, n in kept])
+    best = F.slice(F.array_sort(items), 1, top)
+    return (contributions(model, rows, key).select(key, F.posexplode_outer(best).alias("pos", "r"))
             .select(key, (F.col("pos") + 1).alias("rank"), "r.feature", "r.value"))
-
-

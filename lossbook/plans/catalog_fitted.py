@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lossbook import fixed_values as V
@@ -146,6 +147,23 @@ def _(spark, d):
     return MO.global_drivers(MO.fit_pd(train, BASE + ENGINEERED + MACRO, "logistic"), train)
 
 
+@query("e12_tree_drivers")
+def _(spark, d):
+    """Mean size of each input's contribution to the score of boosted trees."""
+    train, test = _split_frame(spark, d, macro=True)
+    return MO.global_drivers(MO.fit_pd(train, BASE + ENGINEERED + MACRO, "boosted_deep"), test)
+
+
+@query("e12_contributions")
+def _(spark, d):
+    """Every test loan's score by boosted trees as a base and the sum of its inputs' contributions."""
+    train, test = _split_frame(spark, d, macro=True)
+    model = MO.fit_pd(train, BASE + ENGINEERED + MACRO, "boosted_deep")
+    margin = model.pipeline.transform(test).select("loan_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    found = MO.contributions(model, test).join(margin, "loan_id")
+    return found.select("loan_id", "base", "margin", (F.abs(F.col("score") - F.col("margin")) < 1e-9).alias("complete"))
+
+
 @query("e13_reason_codes")
 def _(spark, d):
     train, test = _split_frame(spark, d, macro=True)

@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 
 from lossbook import fixed_values as V
 from lossbook.functions import curves as C
+from lossbook.operators import features as FE
+from lossbook.operators import labels as LB
 from lossbook.operators import metrics as ME
 from lossbook.operators import overlay as OV
+from lossbook.operators import panel as PA
 from lossbook.operators import pricing as PX
 from lossbook.operators import profile as PR
 from lossbook.operators import results as RE
+from lossbook.operators import splits as SP
 from lossbook.operators import survival as SU
 from lossbook.operators.labels import ead_label, lgd_label
 from lossbook.operators.population import complete_cases, defaulted, label_known
 from lossbook.plans import jobs
 from lossbook.plans import oracle_book as O
+from lossbook.plans.bundle import SCORED, ScoringBundle, fit_bundle
 from lossbook.plans.catalog_reports import _grid_results, _scored, grid_sql, hazard_sql
 from lossbook.plans.catalog_rows import timing_sql
 from lossbook.plans.registry import query
@@ -470,3 +475,38 @@ def _(spark, d):
     out, mark = new_path(spark, "scored"), new_path(spark, "stream-progress")
     score_stream(arrivals, score, out, mark).awaitTermination()
     return spark.read.parquet(out).drop("batch")
+
+
+def _bundle(spark, d):
+    """The bundle fitted on the training side of the random split, saved and loaded again."""
+    book = SP.stratified_split(stage(jobs.prepared(spark, d), "prepared"))
+    train = book.filter("split = 'train'").drop("split")
+    loans = LB.categoricals_as_text(FE.all_features(jobs.panel_loans(spark, d, [c for c in B.loan_columns() if c not in jobs.PANEL_COLUMNS])))
+    names = list(dict.fromkeys(["loan_id", "LoanOriginationDate", "T_obs", "is_event", *V.MODEL_FEATURES, *V.ENGINEERED_NUMERIC]))
+    months = PA.loan_months(stage(SP.out_of_time(loans.select(*names), B.OOT_CUTOFF).filter("split = 'train'").drop("split"), "panel-loans"))
+    path = new_path(spark, "bundle")
+    fit_bundle(train, months, jobs.macro_table(spark, d)).save(path)
+    return ScoringBundle.load(spark, path)
+
+
+@query("n18_fitted_book")
+def _(spark, d):
+    """All applications scored by the fitted bundle."""
+    return _bundle(spark, d).score(B.applications(spark, d))
+
+
+@query("r1_fitted_stream")
+def _(spark, d):
+    """All applications scored in three micro-batches by the same bundle, each row beside the batch job's."""
+    bundle = _bundle(spark, d)
+    forms = B.applications(spark, d)
+    arriving = new_path(spark, "arriving")
+    part = F.pmod(F.xxhash64("loan_id"), F.lit(3).cast("long"))
+    for k in range(3):
+        forms.filter(part == k).coalesce(1).write.mode("append").parquet(arriving)
+    out, mark = new_path(spark, "scored"), new_path(spark, "stream-progress")
+    score_stream(read_arrivals(spark, arriving, forms.schema, 1), bundle.score, out, mark).awaitTermination()
+    stream = spark.read.parquet(out).select("batch", F.struct(*SCORED).alias("streamed"))
+    whole = stage(bundle.score(spark.read.schema(forms.schema).parquet(arriving)).select(F.struct(*SCORED).alias("whole")), "whole")
+    both = stream.join(whole, F.col("streamed.loan_id") == F.col("whole.loan_id"), "full")
+    return both.select("batch", "streamed.*", (F.col("streamed") == F.col("whole")).alias("same_as_batch"))

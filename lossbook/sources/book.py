@@ -179,6 +179,11 @@ def _column_rules() -> dict[str, tuple[Column, str]]:
     }
 
 
+def loan_columns() -> list[str]:
+    """All columns of the loan table."""
+    return list(_column_rules())
+
+
 def loan_book(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None,
               orders: DataFrame | None = None) -> DataFrame:
     """The loan table, or the asked columns of it (always with `loan_id`).
