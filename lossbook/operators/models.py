@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,7 +24,7 @@ from lossbook.functions.expr import clip
 from lossbook.operators import metrics as ME
 from lossbook.operators.labels import check_features
 from lossbook.operators.splits import stratified_folds, stratified_split
-from lossbook.session import stage
+from lossbook.session import packed, stage
 
 SEED = 42
 MISSING_NUMBER = -1.0       # trees take no null; -1 sets missing values apart
@@ -121,8 +124,8 @@ def _isotonic(scored: DataFrame) -> IsotonicRegressionModel:
 
 def fit_pd(train: DataFrame, columns: Sequence[str], family: str = "boosted_deep", params: dict | None = None) -> CalibratedModel:
     """Fit on 80 % of the training rows, calibrate on the other 20 %. Takes training rows only."""
-    parts = stage(stratified_split(train.withColumnRenamed(V.TARGET, "label"), stratum="label").select(
-        "loan_id", "label", "split", *columns), "train")
+    parts = packed(stage(stratified_split(train.withColumnRenamed(V.TARGET, "label"), stratum="label").select(
+        "loan_id", "label", "split", *columns), "train"))
     fit = with_class_weight(parts.filter("split = 'train'"))
     model = Pipeline(stages=[*encoder(columns, family == "logistic"), pd_estimator(family, params)]).fit(fit)
     return CalibratedModel(model, _isotonic(model.transform(parts.filter("split = 'test'"))))
@@ -144,6 +147,47 @@ def tune_pd(train: DataFrame, columns: Sequence[str], family: str, grid: dict[st
     return {p.name: v for p, v in maps[best].items()}, float(scores[best])
 
 
+def search_pd(train: DataFrame, columns: Sequence[str], family: str, configs: Sequence[dict], shares: Sequence[float] = (1 / 9, 1 / 3, 1.0),
+              keep: float = 1 / 3, seconds: float | None = None, at_once: int = 4, folds: int = V.CV_FOLDS) -> tuple[dict, float, DataFrame]:
+    """The best of `configs` by successive halving: (parameters, mean fold AUC, all trials).
+
+    Every configuration is tried on a small share of the rows; the best `keep` of them go on to the next share. Shares
+    are nested by the hash of the key, folds are cut once, and the encoder is fitted again in every fold of every share. The
+    fits of a round run side by side. After `seconds` no round begins but the first, and the best of the last
+    complete round wins. Trials are (share, config, fold, auc); ties go to the earlier configuration.
+    """
+    spark, began = train.sparkSession, time.monotonic()
+    folded = with_class_weight(stratified_folds(train.withColumnRenamed(V.TARGET, "label"), stratum="label", folds=folds))
+    place = F.pmod(F.xxhash64(F.lit("share"), "loan_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    rows = packed(stage(folded.select("loan_id", "label", "weight", "fold", place.alias("_place"), *columns), "folds"))
+    judge = BinaryClassificationEvaluator(labelCol="label", numBins=0)
+    alive, trials, mean = list(range(len(configs))), [], {}
+    for n, share in enumerate(shares):
+        if len(alive) == 1 and n + 1 < len(shares):
+            continue                                           # nothing to choose: its value comes from the last share
+        if mean and seconds is not None and time.monotonic() - began > seconds:
+            break
+        some = rows.filter(F.col("_place") < share)
+        sides = []
+        for k in range(folds):
+            fitted = Pipeline(stages=encoder(columns, family == "logistic")).fit(some.filter(F.col("fold") != k))
+            sides.append([packed(stage(fitted.transform(some.filter(side)).select("label", "weight", "features"), "encoded"))
+                          for side in (F.col("fold") != k, F.col("fold") == k)])
+
+        def one(job: tuple[int, int]) -> tuple[int, int, float]:
+            c, k = job
+            model = pd_estimator(family, configs[c]).fit(sides[k][0])
+            return c, k, float(judge.evaluate(model.transform(sides[k][1])))
+
+        with ThreadPoolExecutor(at_once) as pool:
+            found = list(pool.map(one, [(c, k) for c in alive for k in range(folds)]))
+        trials += [(float(share), c, k, auc) for c, k, auc in found]
+        mean = {c: sum(auc for d, _, auc in found if d == c) / folds for c in alive}
+        alive = sorted(alive, key=lambda c: (-mean[c], c))[:max(1, math.ceil(len(alive) * keep))]
+    best = min(mean, key=lambda c: (-mean[c], c))
+    return dict(configs[best]), mean[best], spark.createDataFrame(trials, "share double, config int, fold int, auc double")
+
+
 def evaluate_pd(model: CalibratedModel, test: DataFrame, name: str, target: str = V.TARGET) -> DataFrame:
     """Raw and calibrated metric rows on the test split."""
     scored = stage(model.transform(test).select(F.col(target).alias("y"), "raw_score", "pd"), "scored")
@@ -165,7 +209,7 @@ def predict_amount(model: Transformer, rows: DataFrame, out: str, lo: float | No
 def fit_hazard(fit_rows: DataFrame, calibration_rows: DataFrame, columns: Sequence[str], event: str) -> CalibratedModel:
     """Monthly hazard on down-sampled rows, calibrated back to true rates on un-sampled loans."""
     cols = [*columns, "t", "t_frac"]
-    rows = with_class_weight(stage(fit_rows.withColumnRenamed(event, "label").select("label", *cols), "hazard-fit"))
+    rows = with_class_weight(packed(stage(fit_rows.withColumnRenamed(event, "label").select("label", *cols), "hazard-fit")))
     model = Pipeline(stages=[*encoder(cols), pd_estimator("boosted_shallow", {"maxIter": 10})]).fit(rows)
     return CalibratedModel(model, _isotonic(model.transform(calibration_rows.withColumnRenamed(event, "label").select("label", *cols))))
 

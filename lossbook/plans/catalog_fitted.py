@@ -10,20 +10,21 @@ from lossbook import fixed_values as V
 from lossbook.operators import metrics as ME
 from lossbook.operators import models as MO
 from lossbook.operators import panel as PA
-from lossbook.operators import results as RE
 from lossbook.operators import risk_tables as RT
 from lossbook.operators import segments as SG
 from lossbook.operators import splits as SP
 from lossbook.operators import validate as VA
 from lossbook.operators.features import all_features
-from lossbook.operators.labels import categoricals_as_text, ead_label, lgd_label
+from lossbook.operators.labels import categoricals_as_text, ead_label, feature_columns, lgd_label
 from lossbook.operators.population import defaulted
 from lossbook.plans import jobs
 from lossbook.plans import oracle_book as O
 from lossbook.plans.catalog_reports import bin_sql
+from lossbook.plans.grid import run_cells
 from lossbook.plans.registry import query
 from lossbook.session import new_path, stage
 from lossbook.sources import book as B
+from lossbook.sources.keyed import KeyedTable
 
 BASE = ["CreditScoreRangeLower", "DebtToIncomeRatio", "BankcardUtilization", "StatedMonthlyIncome", "LoanOriginalAmount", "Term",
         "InquiriesLast6Months", "AmountDelinquent", "IncomeRange", "bankcard_util_bucket", "EmploymentStatus"]
@@ -70,8 +71,10 @@ for _n, _f in {"e2_boosted_trees": "boosted_deep", "e3_random_forest": "forest",
 
 @query("e5_parameter_search")
 def _(spark, d):
-    train, _test = _split_frame(spark, d)
-    best, auc = MO.tune_pd(train, BASE, "logistic", {"regParam": [0.001, 0.1], "elasticNetParam": [0.0, 0.5]})
+    """Successive halving over nine settings of the elastic net on all model features."""
+    train, _test = _split_frame(spark, d, V.MODEL_FEATURES)
+    configs = [{"regParam": r, "elasticNetParam": e} for r in (0.0003, 0.01, 0.3) for e in (0.0, 0.5, 1.0)]
+    best, auc, _trials = MO.search_pd(train, V.MODEL_FEATURES, "logistic", configs)
     return spark.createDataFrame([(k, float(v), auc) for k, v in best.items()], "parameter string, value double, cv_auc double")
 
 
@@ -183,20 +186,52 @@ def _(spark, d):
     return RT.monotone_check(frame, _MONO)
 
 
-VERSIONS = {"v1_base": (BASE, False), "v4_macro": (BASE + ENGINEERED + MACRO, True)}
+# version -> engineered features, borrower segment, macro set
+VERSIONS = {"v1_base": (False, False, None), "v2_cluster": (False, True, None), "v3_engineered": (True, True, None), "v4_macro": (True, True, "ttc")}
+MACRO_VERSIONS = {"v3_macro": (False, False), "v5_all": (True, True)}
+FAMILIES = ["boosted_deep", "boosted_shallow", "forest", "logistic"]
+CONFIGS = {"boosted_deep": [{"maxDepth": 4, "maxIter": 8}], "boosted_shallow": [{"maxDepth": 3, "maxIter": 8}], "forest": [{"maxDepth": 6, "numTrees": 20}],
+           "logistic": [{"regParam": 0.01}]}
+
+
+def _grid_frames(spark, d, splits):
+    """Per split its training and test rows, with the segment learned on the training rows."""
+    whole, out = stage(jobs.prepared(spark, d), "prepared"), {}
+    for split in splits:
+        both = SP.stratified_split(whole) if split == "random" else SP.out_of_time(whole, B.OOT_CUTOFF)
+        train = stage(both.filter("split = 'train'").drop("split"), "train")
+        segment = SG.fit_segments(train)
+        out[split] = stage(segment.transform(train), "train"), stage(segment.transform(both.filter("split = 'test'").drop("split")), "test")
+    return out
 
 
 @query("m11_experiment_grid")
 def _(spark, d):
-    train, test = _split_frame(spark, d, macro=True)
-    path, first = new_path(spark, "grid"), True
-    for version, (columns, _macro) in VERSIONS.items():
-        for family in ("logistic", "boosted_shallow"):
-            row = MO.evaluate_pd(MO.fit_pd(train, columns, family), test, family).filter(F.col("model").endswith("calibrated"))
-            row = row.select(F.lit(version).alias("version"), "model", "AUC", "Gini", "KS", "Brier", F.lit(len(columns)).alias("n_features"))
-            if first:
-                row.write.parquet(path)
-                table, first = spark.read.schema(row.schema).parquet(path), False
-            else:
-                table = RE.append_missing(path, row, ["version", "model"])
-    return table
+    """Feature versions by model families: tuned, fitted, calibrated, judged on the test rows."""
+    train, test = _grid_frames(spark, d, ["random"])["random"]
+
+    def work(cell):
+        columns = feature_columns(*VERSIONS[cell["version"]])
+        best, auc, _trials = MO.search_pd(train, columns, cell["model"], CONFIGS[cell["model"]], (0.25, 1.0), 0.5, at_once=2)
+        row = MO.evaluate_pd(MO.fit_pd(train, columns, cell["model"], best), test, "cell").filter("model = 'cell_calibrated'").first()
+        return {"cv_auc": auc, "test_auc_cal": row.AUC, "gini": row.Gini, "ks": row.KS, "brier": row.Brier, "n_features": len(columns)}
+
+    table = KeyedTable(spark, new_path(spark, "grid"), ["version", "model"])
+    cells = [{"version": v, "model": m} for v in VERSIONS for m in FAMILIES]
+    return run_cells(spark, cells, work, ["cv_auc", "test_auc_cal", "gini", "ks", "brier", "n_features"], table, at_once=8)
+
+
+@query("m11_macro_grid")
+def _(spark, d):
+    """Macro sets under the random and the out-of-time split: calibrated test AUC of every family."""
+    frames = _grid_frames(spark, d, ["random", "oot"])
+
+    def work(cell):
+        columns = feature_columns(*MACRO_VERSIONS[cell["version"]], cell["macro"])
+        train, test = frames[cell["split"]]
+        row = MO.evaluate_pd(MO.fit_pd(train, columns, cell["model"], CONFIGS[cell["model"]][0]), test, "cell").filter("model = 'cell_calibrated'").first()
+        return {"test_auc_cal": row.AUC}
+
+    table = KeyedTable(spark, new_path(spark, "macro-grid"), ["version", "split", "macro", "model"])
+    cells = [{"version": v, "split": s, "macro": x, "model": m} for v in MACRO_VERSIONS for s in ("random", "oot") for x in ("raw", "ttc") for m in FAMILIES]
+    return run_cells(spark, cells, work, ["test_auc_cal"], table, at_once=8)

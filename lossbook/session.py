@@ -71,3 +71,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(staged: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A stage table read in fewer partitions, of about `rows` rows or more.
+
+    Model fits run many short jobs over the same rows; a small table in many partitions makes them wait for tasks.
+    """
+    return staged.coalesce(max(1, -(-staged.count() // rows)))
