@@ -4,7 +4,8 @@ Tokens are lower-cased runs of letters and digits. Documents and benchmark items
 seeds (runs of `tile` tokens) they share. For every such pair the longest common runs that do not
 overlap earlier ones are marked, again and again, until none of at least `tile` tokens is left; runs of
 a given length are found by rolling hashes and checked token by token. The share of the item's tokens
-under tiles is its coverage, so passages whose parts come in another order are found as well.
+under tiles is its coverage, so passages whose parts come in another order are found as well. An item shorter than a tile is
+found where a document holds it whole.
 
 The benchmark is a stated query set. It goes to the tasks in blocks of bounded size; documents are
 read where they lie and never shuffled, so neither long texts nor shared passages make a hot task.
@@ -19,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossbook.llm.text import encode_words, hash_words, mixed, only, slices, texts_of
+from lossbook.llm.text import encode_words, hash_words, mixed, only, slices, texts_of, unused
 from lossbook.session import stage
 
 BLOCK_BYTES = 16_000_000         # benchmark text in one broadcast
@@ -38,9 +39,15 @@ class TilePlan:
     coverage: float = 0.5
 
 
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Offsets per text and flat tokens."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")
+    """Offsets per text and flat tokens: runs of letters and digits, single letters in scripts without blanks."""
+    texts = pc.utf8_lower(texts)
+    if len(texts) and not pc.all(pc.string_is_ascii(texts)).as_py():
+        texts = pc.replace_substring_regex(texts, UNSPACED, r" \1 ")
+    lists = pc.split_pattern_regex(texts, r"[^\p{L}\p{N}]+")
     flat = lists.flatten()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     keep = pc.not_equal(flat, "")
@@ -120,7 +127,10 @@ class _Block:
             self.coded = mixed(hash_words(self.words)) | np.uint64(1)
             self.tokens = [self.coded[index[s:e]] if e > s else np.zeros(0, np.uint64) for s, e in zip(ends[:-1], ends[1:])]
         seeds, owner, at = [], [], []
+        self.short: dict[int, dict[int, list[int]]] = {}          # tokens -> hash of all tokens -> items
         for k, t in enumerate(self.tokens):
+            if 0 < len(t) < plan.tile:
+                self.short.setdefault(len(t), {}).setdefault(int(rolling(t, len(t))[0]), []).append(k)
             h = rolling(t, plan.tile)
             seeds.append(h)
             owner.append(np.full(len(h), k))
@@ -163,14 +173,34 @@ class _Block:
                 if covered >= self.plan.coverage * len(item):
                     rows.append((doc_ids[row], self.ids[k], len(item), covered, len(found), covered / len(item),
                                  [dict(zip(("doc_start", "item_start", "length"), x)) for x in found]))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(),
+        rows += self._whole(ids, ends, doc_ids)
+        kinds = [batch.column("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(),
                  pa.list_(pa.struct([(c, pa.int32()) for c in ("doc_start", "item_start", "length")]))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)],
                                           names=["doc_id", "item_id", "item_tokens", "covered", "tiles", "coverage", "spans"])
 
-
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of about BLOCK_BYTES of text (at most one item more), one block on the driver at a time.
+    def _whole(self, ids: np.ndarray, ends: np.ndarray, doc_ids: list) -> list[tuple]:
+        """Rows for items shorter than a tile that a document holds as one run."""
+        out = []
+        for n, items in self.short.items():
+            if len(ids) < n:
+                continue
+            known = np.fromiter(items, np.uint64, len(items))
+            hashed = rolling(ids, n)
+            spots = np.flatnonzero(np.isin(hashed, known))
+            row = np.searchsorted(ends, spots, side="right") - 1
+            inside = spots + n <= ends[row + 1]
+            first: dict[tuple[int, int], int] = {}
+            for spot, r in zip(spots[inside].tolist(), row[inside].tolist()):
+                for k in items[int(hashed[spot])]:
+                    if (r, k) not in first and np.array_equal(ids[spot:spot + n], self.tokens[k]):
+                        first[r, k] = spot - int(ends[r])
+            out += [(doc_ids[r], self.ids[k], n, n, 1, 1.0, [{"doc_start": at, "item_start": 0, "length": n}]) for (r, k), at in sorted(first.items())]
+        return out
+
+
+def blocks_of(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, block): items in blocks of about BLOCK_BYTES of text (at most one item more), as a stage table.
 
     Running sums of the text's bytes go through all partitions, so the number of blocks, and of passes over
     the documents, follows from the benchmark's size and not from how many files it lies in.
@@ -182,35 +212,57 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         F.col("part").alias("of"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))
     own = F.sum("n").over(Window.partitionBy("part").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     placed = sized.withColumn("own", own).join(parts, F.col("part") == F.col("of"))
-    blocks = stage(placed.select("item_id", "text", F.floor((F.col("before") + F.col("own")) / BLOCK_BYTES).alias("block")), "blocks")
-    for key in blocks.select("block").distinct().orderBy("block").toLocalIterator():
-        yield [(r.item_id, r.text) for r in blocks.filter(F.col("block") == key.block).select("item_id", "text").collect()]
+    return stage(placed.select("item_id", "text", F.floor((F.col("before") + F.col("own")) / BLOCK_BYTES).alias("block")), "blocks")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, plan: TilePlan = TilePlan()) -> DataFrame:
-    """One row (doc_id, item_id, item_tokens, covered, tiles, coverage, spans) for each leaked item of a document.
+def _matched(texts: DataFrame, benchmark: DataFrame, plan: TilePlan, kind: str) -> DataFrame:
+    """Matches of all blocks; `texts` is (doc_id, text), with an id of any type that `kind` names.
 
-    Null and empty texts, on either side, match nothing; so do items with fewer tokens than a tile.
-    Repeated documents and repeated items each give their rows. Other columns are ignored. Without
-    documents or items the result is empty.
+    With one block the matches are a plan over the documents. With more, each block's matches are written before the next
+    block is sent, so the driver and the tasks hold one block at a time.
     """
-    spark = docs.sparkSession
-    texts = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    spark = texts.sparkSession
+    blocks = blocks_of(benchmark)
+    keys = [r.block for r in blocks.select("block").distinct().orderBy("block").toLocalIterator()]
     out = None
-    for block in blocks_of(benchmark):
-        sent = spark.sparkContext.broadcast(_Block(block, plan))
+    for key in keys:
+        items = blocks.filter(F.col("block") == key).select("item_id", "text")
+        sent = spark.sparkContext.broadcast(_Block([(r.item_id, r.text) for r in items.collect()], plan))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 yield sent.value.match(batch)
 
-        part = texts.mapInArrow(run, OUT)
+        part = texts.mapInArrow(run, OUT.replace("doc_id long", f"doc_id {kind}", 1))
+        if len(keys) > 1:
+            part = stage(part, "matches")
+            sent.destroy()
         out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], OUT)
+    return out if out is not None else spark.createDataFrame([], OUT.replace("doc_id long", f"doc_id {kind}", 1))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, plan: TilePlan = TilePlan()) -> DataFrame:
+    """One row (doc_id, item_id, item_tokens, covered, tiles, coverage, spans) for each leaked item of a document.
+
+    Null and empty texts, on either side, match nothing. An item with fewer tokens than a tile counts when a document
+    holds all its tokens as one run. Repeated documents and repeated items each give their rows. Other columns are ignored. Without
+    documents or items the result is empty.
+    """
+    return _matched(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), benchmark, plan, "long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, plan: TilePlan = TilePlan()) -> DataFrame:
-    """Rows of `docs` that hold no benchmark item; a row without an id stays if its text is clean."""
-    bad = stage(contaminated(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-2**62))), benchmark, plan).select("doc_id").distinct(), "leaks")
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-2**62)))
-    return keyed.join(bad.withColumnRenamed("doc_id", "_id"), "_id", "left_anti").select(*docs.columns)
+    """Rows of `docs`, all columns, that hold no benchmark item.
+
+    A text decides for itself: rows without an id, and rows that repeat one, stay or go by their own text; rows of one text
+    go together. A null or empty text stays. Columns of any name are kept as they are. Without items all rows stay.
+    """
+    text = only(docs, "text").filter("text is not null").select(_print("text").alias("doc_id"), "text")
+    bad = stage(_matched(text, benchmark, plan, "string").select("doc_id").distinct(), "leaks")
+    key = unused("leak", docs.columns)
+    return docs.join(bad.withColumnRenamed("doc_id", key), _print("text").eqNullSafe(F.col(key)), "left_anti")
+
+
+def _print(column: str) -> Column:
+    """128 bits of a text."""
+    return F.concat_ws("-", F.xxhash64(F.lit(1), column).cast("string"), F.xxhash64(F.lit(2), column).cast("string"))

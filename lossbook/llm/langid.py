@@ -29,7 +29,12 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(" ".join([*strings, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
     doc = np.repeat(np.arange(len(strings)), lengths)
-    codes = np.where((codes >= 0x10000) | _LETTER[np.minimum(codes, 0xFFFF)], codes, 0)
+    letter = _LETTER[np.minimum(codes, 0xFFFF)]
+    far = codes >= 0x10000
+    if far.any():
+        signs, which = np.unique(codes[far], return_inverse=True)
+        letter[far] = np.array([chr(c).isalpha() for c in signs])[which]
+    codes = np.where(letter, codes, 0)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
     codes, doc = codes[keep].astype(np.uint64), doc[keep]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lossbook.llm.text import WORD, only
+from lossbook.llm.text import WORD, only, unused
 from lossbook.session import stage
 
 MOST = 3                 # times a source's size that its target may reach
@@ -125,13 +125,31 @@ def rounded(units: DataFrame, group: str, seed: int) -> DataFrame:
         state, level = state.filter((F.col("p") > EPS) & (F.col("p") < 1 - EPS)), level + 1
 
 
+def _numbered(rows: DataFrame, mark: str, name: str) -> DataFrame:
+    """Add `name`, which counts rows of equal doc_id and `mark` from 1.
+
+    Rows are counted within the input partition they lie in, then partitions of a key are prefix-summed, so a key that
+    repeats in many partitions is not numbered in one task. Only keys that lie in several partitions have an offset.
+    """
+    own = {c: unused(c, rows.columns) for c in ("part", "whole", "before", "of", "in", "at")}
+    # a null id counts as 0: `mark` tells them apart, and the join has the partitioning of the window
+    placed = rows.withColumn(own["part"], F.spark_partition_id()).withColumn(own["whole"], F.coalesce("doc_id", F.lit(0)).cast("long"))
+    keys = [own["whole"], mark, own["part"]]
+    order = Window.partitionBy(own["whole"], mark).orderBy(own["part"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.sum("n").over(order).alias(own["before"])).filter(
+        F.col(own["before"]).isNotNull()).withColumnsRenamed(dict(zip(keys, (own["of"], own["in"], own["at"]))))
+    local = placed.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    same = (F.col(own["whole"]) == F.col(own["of"])) & (F.col(mark) == F.col(own["in"])) & (F.col(own["part"]) == F.col(own["at"]))
+    return local.join(offsets, same, "left").select(*[F.col(f"`{c}`") for c in rows.columns],
+                                                    (F.col(name) + F.coalesce(F.col(own["before"]), F.lit(0))).alias(name))
+
+
 def _mixed(docs: DataFrame, seed: int, weights: tuple[int, ...]) -> DataFrame:
     """mix() with what tells repeated rows apart: print, number."""
     base = stage(only(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"),
                                                               F.xxhash64("doc_id", "source", "text").alias("print")), "sizes")
     targets = stage(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    same = Window.partitionBy("doc_id", "print").orderBy(F.lit(0))
-    numbered = base.withColumn("number", F.row_number().over(same)).withColumn("key", F.xxhash64("doc_id", "print", "number"))
+    numbered = _numbered(base, "print", "number").withColumn("key", F.xxhash64("doc_id", "print", "number"))
     rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0)
     rows = numbered.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select("d.*", "t.source_size", "t.target", rate.alias("rate"))
     rows = stage(rows.withColumn("whole", F.floor(F.col("rate") + EPS)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))), "rates")
@@ -152,11 +170,16 @@ def mix(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3)) -
 
 
 def mixed_rows(docs: DataFrame, seed: int = 20, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Rows of `docs`, all columns, each as often as the mix takes it (not at all, or up to MOST times)."""
-    taken = _mixed(docs, seed, weights).groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(
-        F.array_sort(F.collect_list(F.struct("number", "copies"))).alias("_copies"))
-    marked = docs.withColumn("_print", F.xxhash64("doc_id", "source", "text"))
-    numbered = marked.withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "_print").orderBy(F.lit(0))))
-    joined = numbered.join(taken.withColumnRenamed("_print", "_own"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_own")))
-    times = F.element_at(F.col("_copies"), F.col("_number"))["copies"].cast("int")
-    return joined.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    """Rows of `docs`, all columns, each as often as the mix takes it (not at all, or up to MOST times).
+
+    Nulls, empty texts, repeated rows and the empty table are as in `mix`. Rows equal in id, source and text are interchangeable:
+    which of them is taken more often is not stated. Columns of any name are kept as they are.
+    """
+    own = {c: unused(c, docs.columns) for c in ("print", "number", "id", "same", "nth", "times", "time")}
+    taken = _mixed(docs, seed, weights).select(F.col("doc_id").alias(own["id"]), F.col("print").alias(own["same"]),
+                                               F.col("number").alias(own["nth"]), F.col("copies").cast("int").alias(own["times"]))
+    marked = docs.withColumn(own["print"], F.xxhash64("doc_id", "source", "text"))
+    rows = _numbered(marked, own["print"], own["number"])
+    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col(own["id"])) & (F.col(own["print"]) == F.col(own["same"]))
+                       & (F.col(own["number"]) == F.col(own["nth"])))
+    return joined.withColumn(own["time"], F.explode(F.array_repeat(F.lit(0), F.col(own["times"])))).select(*[F.col(f"`{c}`") for c in docs.columns])

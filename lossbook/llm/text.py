@@ -120,3 +120,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table holds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not among `columns`, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
