@@ -34,9 +34,10 @@ OUT = "doc_id long, item_id long, item_tokens int, covered int, tiles int, cover
 
 @dataclass(frozen=True)
 class TilePlan:
-    """Fewest tokens of a tile, and the coverage of an item from which a document is contaminated."""
+    """Fewest tokens of a tile, the coverage of an item from which a document is contaminated, and fewest tokens of an item."""
     tile: int = 4
     coverage: float = 0.5
+    shortest: int = 1
 
 
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
@@ -129,7 +130,7 @@ class _Block:
         seeds, owner, at = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}          # tokens -> hash of all tokens -> items
         for k, t in enumerate(self.tokens):
-            if 0 < len(t) < plan.tile:
+            if max(plan.shortest, 1) <= len(t) < plan.tile:
                 self.short.setdefault(len(t), {}).setdefault(int(rolling(t, len(t))[0]), []).append(k)
             h = rolling(t, plan.tile)
             seeds.append(h)
@@ -251,9 +252,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, plan: TilePlan = TilePla
     return _matched(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), benchmark, plan, "long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, plan: TilePlan = TilePlan()) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, plan: TilePlan = TilePlan(shortest=TilePlan.tile)) -> DataFrame:
     """Rows of `docs`, all columns, that hold no benchmark item.
 
+    Items shorter than a tile do not count here unless the plan says so: their few words stand in many clean documents.
     A text decides for itself: rows without an id, and rows that repeat one, stay or go by their own text; rows of one text
     go together. A null or empty text stays. Columns of any name are kept as they are. Without items all rows stay.
     """

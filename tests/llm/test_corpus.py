@@ -141,7 +141,7 @@ def test_leaks_are_found_whole_and_reordered(spark):
     bench = spark.createDataFrame([(10, item, 1), (11, None, 2), (12, "the quick", 3)], "item_id long, text string, doc_id int")
     table = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(table, bench).collect()}
-    assert set(got) == {(1, 10), (2, 10)} and got[1, 10].coverage == 1.0 and got[2, 10].tiles == 2
+    assert set(got) == {(1, 10), (2, 10), (1, 12), (2, 12), (3, 12)} and got[1, 10].coverage == 1.0 and got[2, 10].tiles == 2
     assert sorted(r.doc_id for r in decontam.clean(table, bench).collect()) == [3, 4, 5]
     assert decontam.contaminated(table, bench.limit(0)).count() == 0
 
