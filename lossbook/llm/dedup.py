@@ -336,12 +336,9 @@ def near_duplicates(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame
 def keep_one(docs: DataFrame, plan: DedupPlan = DedupPlan()) -> DataFrame:
     """Rows of `docs`, all columns, but one document for each group: that with the smallest id.
 
-    Of rows that repeat an id the one with the smallest text (null first) stays; among equal texts any. Rows without an id
-    stay as they are. Columns of any name are kept as they are.
+    Of rows that repeat an id one stays, any of them. Rows without an id stay as they are. Columns of any name are kept as they are.
     """
-    own, place = unused("kept", docs.columns), unused("place", docs.columns)
+    own = unused("kept", docs.columns)
     kept = near_duplicates(docs, plan).filter("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(own), "left_semi")
-    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text").isNotNull(), "text"))
-    chosen = named.groupBy(F.col("doc_id").alias(own)).agg(first.alias(place)).select(f"`{place}`.*")
+    chosen = docs.join(kept, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -3,9 +3,10 @@
 The page becomes a tree. Every node has its characters, tags, link characters and link tags; its composite
 density is characters per tag, discounted for links. The node with the largest sum of child densities is
 the heart of the text, the smallest density on its path to the body is the threshold, and each part of
-the page that reaches the threshold gives its own maximum-sum subtree. Navigation, forms, scripts and hidden
-parts never count, nor do parts that call themselves adverts or comments. Those that call themselves notices or
-sidebars do only where they hold most of the page's text: there the density decides.
+the page that reaches the threshold gives its own maximum-sum subtree. Navigation, scripts and hidden
+parts never count, nor do parts that call themselves adverts or comments. Forms, asides and parts that call themselves notices or
+sidebars do only where they hold most of the page's text, and a part whose name only begins like one of these also where little of
+it is links: there the density decides.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,14 +25,15 @@ from lossbook.llm.text import only, slices
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike "
-                   "strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style textarea title noscript iframe template svg noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr object q rp rt ruby s samp small span strike "
+                   "strong sub sup time tt u var wbr br img math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main "
                      "menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = frozenset("ul ol dl table tbody thead tfoot select body html".split())
-DROPPED = frozenset("nav footer aside form button select dialog menu fieldset input head".split())
+DROPPED = frozenset("nav footer button select dialog menu input head annotation".split())
+LIKELY = frozenset("form aside fieldset".split())                    # out unless they hold most of the page's text
 # Words by which parts of a page that are not its text are called in class, id and role.
 CALLED = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
                    "popup modal overlay sidebar aside side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social "
@@ -39,118 +42,175 @@ CALLED = frozenset("ad ads adv advert adverts advertisement advertising banner s
 # Those that say whose text it is; such a part stays out however much of the page it holds.
 FIRM = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr comment comments "
                  "commentlist disqus replies respond newsletter".split())
-# Words that make a whole name a called one whatever follows, and words that say nothing beside a called one.
+# Words that make a name a likely one whatever follows, and words that say nothing beside a called one.
 PREFIXES = frozenset("ad ads advert advertisement banner cookie gdpr sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus newsletter "
                      "widget related popup modal sponsored promo footer pagination".split())
 PARTS = frozenset("site page main global top bottom left right primary secondary js bar box button buttons link links list item items container wrapper wrap block "
                   "section area panel inner outer holder icon icons title".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)             # the attribute, not a word of a value
-_UNSHOWN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_SKIP, _ATTR, _EQUAL, _VALUE = (re.compile(p) for p in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
+OUT, FIRMLY, NAMED, MAYBE = "out", "firmly", "named", "maybe"
+LINKED = 1 / 3                       # share of link text from which a part that only may be called something is taken for it
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum", "marked")
+    """`why` says what speaks against a part: OUT and FIRMLY always drop it, NAMED and MAYBE are looked at in `_release`."""
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, named: bool = False):
-        self.tag, self.parent, self.drop, self.named, self.kids = tag, parent, drop or named, named and not drop, []
+    __slots__ = ("tag", "parent", "kids", "drop", "why", "chars", "tags", "link_chars", "link_tags", "density", "sum", "marked", "under")
+
+    def __init__(self, tag: str, parent: Node | None, why: str = ""):
+        self.tag, self.parent, self.why, self.drop, self.kids = tag, parent, why, bool(why), []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
-        self.marked = False
+        self.marked = self.under = False
+
 
+def _verdict(tag: str, attrs: dict[str, str], inside_article: bool) -> str:
+    """What speaks against a part, by its element and by the names in class, id and role.
 
-def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
+    A name whose words all are known names of parts that are not text counts firmly or as named; one that only begins with such a
+    word may be anything.
+    """
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
-    if not attrs.strip() or tag in ("body", "html", "article", "main"):
-        return False
-    return bool(_HIDDEN.search(_QUOTED.sub("''", attrs)) or _UNSHOWN.search(attrs))
-
-
-def _called(tag: str, attrs: str) -> int:
-    """1 where a class, id or role as a whole is the name of a part that is not text, 2 where one is a firm name."""
-    if not attrs.strip() or tag in ("body", "html", "article", "main"):
-        return 0
-    out = 0
-    for m in _NAME.finditer(attrs):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            words = [w.lower() for w in _WORDS.findall(name)]
-            if words and (words[0] in PREFIXES or any(w in CALLED for w in words) and all(w in CALLED or w in PARTS for w in words)):
-                out = max(out, 2 if any(w in FIRM for w in words) else 1)
+        return OUT
+    if not attrs or tag in ("body", "html", "article", "main"):
+        return NAMED if tag in LIKELY else ""
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _NONE.search(attrs.get("style", "")):
+        return OUT
+    out = NAMED if tag in LIKELY else ""
+    for name in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if any(w in CALLED for w in words) and all(w in CALLED or w in PARTS for w in words):
+            if any(w in FIRM for w in words):
+                return FIRMLY
+            out = NAMED
+        elif words and words[0] in PREFIXES and not out:
+            out = NAMED if words[0] in FIRM else MAYBE
     return out
 
 
 def _release(root: Node) -> None:
-    """Let parts that are dropped only by their name count where they hold more than half of the page's text."""
+    """Let named parts count where they hold more than half of the page's text, and parts that may be named also where little of
+    their text is links."""
     nodes, todo = [], [root]
     while todo:
         n = todo.pop()
-        if n.named or not n.drop:
+        if n.why not in (OUT, FIRMLY):
             nodes.append(n)
             todo += [k for k in n.kids if isinstance(k, Node)]
-    if not any(n.named for n in nodes):
+    if not any(n.why for n in nodes):
         return
     chars: dict[int, int] = {}
+    links: dict[int, int] = {}
     for n in reversed(nodes):
         chars[id(n)] = sum(len(k.strip()) if isinstance(k, str) else chars.get(id(k), 0) for k in n.kids)
+        links[id(n)] = chars[id(n)] if n.tag == "a" else sum(links.get(id(k), 0) for k in n.kids if isinstance(k, Node))
     for n in nodes:
-        if n.named and 2 * chars[id(n)] > chars[id(root)]:
+        if n.why and (2 * chars[id(n)] > chars[id(root)] or n.why == MAYBE and links[id(n)] < LINKED * chars[id(n)]):
             n.drop = False
 
 
+def _attributes(page: str, at: int, gone: dict[str, int]) -> tuple[dict[str, str], bool, int]:
+    """Attributes of a tag from `at` on, whether it closes itself, and the place after it.
+
+    A quote without a second one is an ordinary sign; `gone` remembers from where on a quote does not come again.
+    """
+    attrs: dict[str, str] = {}
+    while True:
+        skipped = _SKIP.match(page, at)
+        at = skipped.end()
+        if at >= len(page):
+            return attrs, False, at
+        if page[at] == ">":
+            return attrs, skipped.group().endswith("/"), at + 1
+        name = _ATTR.match(page, at)
+        at = name.end()
+        equal = _EQUAL.match(page, at)
+        if not equal:
+            attrs.setdefault(name.group().lower(), "")
+            continue
+        at = equal.end()
+        quote = page[at:at + 1]
+        if quote in ('"', "'") and at < gone.get(quote, len(page)):
+            end = page.find(quote, at + 1)
+            if end >= 0:
+                attrs.setdefault(name.group().lower(), page[at + 1:end])
+                at = end + 1
+                continue
+            gone[quote] = at
+        value = _VALUE.match(page, at)
+        attrs.setdefault(name.group().lower(), value.group())
+        at = value.end()
+
+
 def parse(page: str) -> Node:
-    """A tree whose kids are nodes and pieces of text; closing tags that are missing are supplied."""
-    root = Node("html", None, False)
+    """A tree whose kids are nodes and pieces of text; closing tags that are missing are supplied. One pass over the page."""
+    root = Node("html", None)
     here, at, articles = root, 0, 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            here.kids.append(page[at:m.start()])
-        at = m.end()
+    opened: Counter[str] = Counter({"html": 1})
+    gone: dict[str, int] = {}
+    start = page.find("<")
+    while start >= 0:
+        m = _TAG.match(page, start)
+        if not m:
+            start = page.find("<", start + 1)
+            continue
+        if start > at:
+            here.kids.append(page[at:start])
         if not m[2]:
+            end = page.find("-->" if m.group() == "<!--" else ">", m.end())
+            at = len(page) if end < 0 else end + (3 if m.group() == "<!--" else 1)
+            start = page.find("<", at)
             continue
         tag = m[2].lower()
+        attrs, closed, at = _attributes(page, m.end(), gone)
         if m[1]:
-            up = here
+            up = here if opened[tag] else None
             while up and up.tag != tag and not (up.tag in FENCE and tag in INLINE):
                 up = up.parent
             if up and up.tag == tag and up.parent:
                 while here is not up.parent:
                     articles -= here.tag == "article"
+                    opened[here.tag] -= 1
                     here = here.parent
             elif tag == "br":
                 here.kids.append(" ")
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
+        elif tag in RAW or tag == "xmp":
+            if not closed:
+                end = _END[tag].search(page, at)
+                if tag == "xmp":
+                    here.kids.append(Node("pre", here))
+                    here.kids[-1].kids.append(entities.escape(page[at:end.start() if end else len(page)]))
                 stop = page.find(">", end.start()) if end else -1
                 at = stop + 1 if stop >= 0 else len(page)
-            continue
-        closing = SAME.get(tag, ())
-        if tag in CLOSES_P:
-            closing = {"p"}
-        if closing:
-            up = here
-            while up and up.tag not in closing and up.tag not in FENCE and (up.tag in INLINE or up.tag in ("p", "td", "th")):
-                up = up.parent
-            if up and up.tag in closing and up.parent:
-                here = up.parent
-        if tag in ("html", "body") and any(p.tag == tag for p in _path(here)):
-            continue
-        called = _called(tag, m[3])
-        node = Node(tag, here, called == 2 or _boilerplate(tag, m[3], articles > 0), called == 1)
-        here.kids.append(node)
-        if tag not in VOID and not m[3].rstrip().endswith("/") or tag in ("a", "p", "div", "span"):
-            here = node
-            articles += tag == "article"
+        else:
+            closing = {"p"} if tag in CLOSES_P else SAME.get(tag, ())
+            if closing:
+                up = here
+                while up and up.tag not in closing and up.tag not in FENCE and (up.tag in INLINE or up.tag in ("p", "td", "th")):
+                    up = up.parent
+                if up and up.tag in closing and up.parent:
+                    while here is not up.parent:
+                        opened[here.tag] -= 1
+                        here = here.parent
+            if tag not in ("html", "body") or not opened[tag]:
+                node = Node(tag, here, _verdict(tag, attrs, articles > 0))
+                here.kids.append(node)
+                if tag not in VOID and not closed or tag in ("a", "p", "div", "span"):
+                    here = node
+                    opened[tag] += 1
+                    articles += tag == "article"
+        start = page.find("<", at)
     if at < len(page):
         here.kids.append(page[at:])
     return root
 
 
+_END = {tag: re.compile(rf"</{tag}[\s>/]", re.I) for tag in (*RAW, "xmp")}
+
+
 def _path(node: Node | None) -> Iterator[Node]:
     while node:
         yield node
@@ -234,7 +294,8 @@ def extract(page: str | None) -> str:
     _release(root)
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    inside = [n for n in _order(body) if n.chars and n.tag not in INLINE]
+    ordered = _order(body)
+    inside = [n for n in ordered if n.chars and n.tag not in INLINE]
     if not inside:
         return ""
     heart = max(inside, key=lambda n: n.sum)
@@ -246,12 +307,16 @@ def extract(page: str | None) -> str:
             if isinstance(k, Node) and id(k) in top and top[id(k)].sum > best.sum:
                 best = top[id(k)]
         top[id(n)] = best
-    for n in inside:
-        if n.density >= threshold and not any(p.marked for p in _path(n)):
+    for n in ordered:                                # parents first: `under` tells that a marked node is above or here
+        n.under = n.marked or n is not body and n.parent.under
+        if id(n) in top and n.density >= threshold and not n.under:
             top[id(n)].marked = True
+            n.under = n.marked
     blocks: list[str] = []
-    for n in inside:
-        if n.marked and not any(p.marked for p in _path(n.parent)):
+    for n in ordered:
+        above = n is not body and n.parent.under
+        n.under = above or n.marked
+        if n.marked and not above:
             _text(n, blocks)
     return "\n".join(blocks)
 

