@@ -119,6 +119,6 @@ def latest_by_state(state: DataFrame, required: Sequence[str] = tuple(V.STATE_TT
 
 
 def with_current_macro(loans: DataFrame, macro: DataFrame, columns: Sequence[str] = tuple(V.MACRO_TTC)) -> DataFrame:
-    """Today's macro values on every row, from one scalar subquery per column."""
-    now = latest_row(macro, list(columns))
-    return loans.select("*", *[now.select(c).scalar().alias(c) for c in columns])
+    """Today's macro values on every row, from one scalar subquery."""
+    now = latest_row(macro, list(columns)).select(F.struct(*columns)).scalar()
+    return loans.select("*", *[now[c].alias(c) for c in columns])

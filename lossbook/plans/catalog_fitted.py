@@ -173,7 +173,7 @@ def _(spark, d):
     return MO.reason_codes(MO.fit_pd(train, BASE + ENGINEERED + MACRO, "logistic"), test)
 
 
-_MONO = {c: V.RISK_DIRECTIONS[c] for c in ("DebtToIncomeRatio", "BankcardUtilization", "CreditScoreRangeLower", "Term", "TotalUtilization", "StatedMonthlyIncome")}
+_MONO = dict(V.RISK_DIRECTIONS)
 _SIGN = "CASE feature " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _MONO.items()) + " END"
 
 

@@ -114,26 +114,26 @@ def _(spark, d):
 
 
 @query("a03_target_rate", bin_sql("""SELECT feature, bin, key, "Count", "Bads", round_even("Bads"*100.0::DOUBLE/"Count",2) AS bad_rate_pct,
-  round_even("Count"*100.0::DOUBLE/sum("Count") OVER (PARTITION BY feature),2) AS share_pct FROM counts"""))
+  round_even("Count"*100.0::DOUBLE/sum("Count") OVER (PARTITION BY feature),2) AS share_pct FROM counts""", ALL_NUMERIC, ALL_TEXT))
 def _(spark, d):
-    return RT.target_rate(_features(spark, d, [*NUMBERS, *TEXTS, V.TARGET]), NUMBERS + TEXTS)
+    return RT.target_rate(_features(spark, d, [*ALL_NUMERIC, *ALL_TEXT, V.TARGET]), ALL_NUMERIC + ALL_TEXT)
 
 
-@query("a04_woe_iv", bin_sql("""SELECT *, round_even(sum("IV") OVER (PARTITION BY feature),4) AS "IV_total" FROM woe"""))
+@query("a04_woe_iv", bin_sql("""SELECT *, round_even(sum("IV") OVER (PARTITION BY feature),4) AS "IV_total" FROM woe""", ALL_NUMERIC, ALL_TEXT))
 def _(spark, d):
-    return RT.woe_table(_features(spark, d, [*NUMBERS, *TEXTS, V.TARGET]), NUMBERS + TEXTS)
+    return RT.woe_table(_features(spark, d, [*ALL_NUMERIC, *ALL_TEXT, V.TARGET]), ALL_NUMERIC + ALL_TEXT)
 
 
 @query("a05_equal_frequency_bins", bin_sql("""SELECT feature, (i-1)::INT AS pos, es[i] AS edge FROM
-  (SELECT feature, es, unnest(range(1,len(es)+1)) AS i FROM edges)"""), {"edge": 6})
+  (SELECT feature, es, unnest(range(1,len(es)+1)) AS i FROM edges)""", ALL_NUMERIC, ALL_TEXT), {"edge": 6})
 def _(spark, d):
-    edges = BI.bin_edges(unpivot(_features(spark, d, NUMBERS), NUMBERS), 10)
+    edges = BI.bin_edges(unpivot(_features(spark, d, ALL_NUMERIC), ALL_NUMERIC), 10)
     return edges.select("feature", F.posexplode("edges").alias("pos", "edge"))
 
 
-@query("a06_iv_unrounded", bin_sql("SELECT feature, iv AS \"IV\" FROM iv0"), {"IV": 7})
+@query("a06_iv_unrounded", bin_sql("SELECT feature, iv AS \"IV\" FROM iv0", ALL_NUMERIC, ALL_TEXT), {"IV": 7})
 def _(spark, d):
-    return RT.information_value(_features(spark, d, [*NUMBERS, *TEXTS, V.TARGET]), NUMBERS + TEXTS)
+    return RT.information_value(_features(spark, d, [*ALL_NUMERIC, *ALL_TEXT, V.TARGET]), ALL_NUMERIC + ALL_TEXT)
 
 
 @query("a07_iv_ranking", bin_sql(f"""SELECT feature, "IV", {_BAND.format('"IV"')} AS band FROM

@@ -172,3 +172,12 @@ def test_folds_of_tiny_and_null_strata(spark):
     df = spark.createDataFrame([(1, 1), *[(i, 0) for i in range(2, 9)], *[(i, None) for i in range(9, 14)]], "loan_id long, is_bad int")
     got = {(r["is_bad"], r["fold"]): r["n"] for r in SP.stratified_folds(df, folds=4).groupBy("is_bad", "fold").agg(F.count("*").alias("n")).collect()}
     assert got == {(1, 0): 1, (0, 0): 2, (0, 1): 2, (0, 2): 2, (0, 3): 1, (None, 0): 2, (None, 1): 1, (None, 2): 1, (None, 3): 1}
+
+
+def test_fills_with_constants_only(spark):
+    from lossbook.operators.profile import Fill, fill_missing, learn_fills
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "k int, x double")
+    rules = [Fill("x", "constant", value=7.0), Fill("gone", "constant", value=1.0)]
+    assert sorted(map(tuple, fill_missing(df, rules, learn_fills(df, rules)).collect())) == [(1, 7.0), (2, 3.0)]
+    learned = learn_fills(df, [Fill("x", "median")])
+    assert fill_missing(df.drop("x"), [Fill("x", "median", flag=True)], learned).columns == ["k"]
