@@ -53,8 +53,8 @@ def _with_weight(test: DataFrame, censoring: DataFrame) -> DataFrame:
         "_w", F.when(F.col("is_event") & (F.col("G") > 0), 1 / F.col("G")))
 
 
-def _scored_pairs(rows: DataFrame, times: list[int], own_month: bool, budget: int) -> DataFrame:
-    """(t, right, weight, controls) for each time: cases against loans followed beyond t.
+def _scored_pairs(rows: DataFrame, times: list[int] | None, own_month: bool, budget: int) -> DataFrame:
+    """(t, right, weight, controls) for each time (or each event month): cases against loans followed beyond t.
 
     `rows` is (T_obs, is_event, r, _w, last). Cases of t are the events of that month (`own_month`) or up to it, controls the loans
     with last >= t. `weight` sums the weights of the cases, `right` the weights times the controls with a lower score, ties counting half.
@@ -63,10 +63,12 @@ def _scored_pairs(rows: DataFrame, times: list[int], own_month: bool, budget: in
     prefix-summed over the parts level by level, and each part adds its own running counts. So every row is shuffled once and
     neither pairs nor months are laid out.
     """
-    if not times:
-        return rows.sparkSession.createDataFrame([], "t long, right double, weight double, controls long")
     tally = stage(rows.groupBy("r", "T_obs", "is_event", "_w", "last").agg(F.count("*").alias("n")).filter(F.col("r").isNotNull()).withColumn(
         "_g", F.lit(0)), "survival")
+    if times is None:                                    # one row per event month
+        times = sorted(r[0] for r in tally.filter("is_event").select("T_obs").distinct().collect())
+    if not times:
+        return rows.sparkSession.createDataFrame([], "t long, right double, weight double, controls long")
     depth = depth_of(tally, ["_g"], budget)
     parted = stage(with_parts(tally, ["_g"], "r", depth), "survival-parts") if depth else tally.withColumn("_part", F.lit(0).cast("long"))
     names = [f"c{t}" for t in times]
@@ -106,9 +108,7 @@ def ipcw_concordance(train: DataFrame, test: DataFrame, risk: str, budget: int =
     rows = _with_weight(test.select("T_obs", "is_event", F.col(risk).cast("double").alias("r")), stage(censoring_survival(train), "km"))
     last = F.when(F.col("is_event"), F.col("T_obs") - 1).otherwise(F.col("T_obs")).cast("long")
     rows = rows.select("r", F.col("T_obs").cast("long").alias("T_obs"), "is_event", (F.col("_w") * F.col("_w")).alias("_w"), last.alias("last"))
-    # one row per event month
-    months = sorted(r[0] for r in rows.filter("is_event").select("T_obs").distinct().collect())
-    pairs = _scored_pairs(rows, months, True, budget)
+    pairs = _scored_pairs(rows, None, True, budget)
     return pairs.agg(F.try_divide(F.sum("right"), F.sum(F.col("weight") * F.col("controls"))).alias("concordance_ipcw"))
 
 
