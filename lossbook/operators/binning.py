@@ -1,25 +1,54 @@
-"""Equal-frequency bins (A5) of many columns at once, in long form."""
+"""Equal-frequency bins (A5) of many columns at once, from one tally of their values."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lossbook.operators.ranking import distinct_counts, quantile_grid, unpivot
+from lossbook.operators.ranking import distinct_counts, quantile_grid
+from lossbook.session import stage
 
 MISSING = "<missing>"
 
 
-def bin_edges(numeric: DataFrame, bins: int, by: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
-    """(by, edges) of the groups with more than `bins` distinct values; duplicate edges dropped."""
+def usable(frame: DataFrame, features: Sequence[str]) -> list[str]:
+    """The listed columns that the frame has and that can be cut into levels: no arrays, maps, structs or binaries."""
+    levels = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return [n for n in features if n in frame.columns and isinstance(frame.schema[n].dataType, levels)]
+
+
+def tally(frame: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """(feature, value, key, n, bads): one row per distinct value of each column, written once.
+
+    Numbers stand in `value`, NULL where missing; other values in `key`, `<missing>` where missing. All columns are
+    laid out by one scan and combined before the shuffle; `bads` sums the target.
+    """
+    def cell(n: str) -> Column:
+        number = isinstance(frame.schema[n].dataType, T.NumericType)
+        value = F.col(f"`{n}`").cast("double") if number else F.lit(None).cast("double")
+        key = F.lit(None).cast("string") if number else F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(MISSING))
+        return F.struct(value.alias("value"), key.alias("key")).alias(n)
+
+    cells = frame.select(F.col(target).cast("int").alias("_y"), *[cell(n) for n in features])
+    long = cells.unpivot(["_y"], list(features), "feature", "_cell")
+    return stage(long.groupBy("feature", F.col("_cell.value").alias("value"), F.col("_cell.key").alias("key")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("bads")), "tally")
+
+
+def bin_edges(numeric: DataFrame, bins: int, by: Sequence[str] = ("feature",), value: str = "value", count: str | None = None) -> DataFrame:
+    """(by, edges) of the groups with more than `bins` distinct values; duplicate edges dropped.
+
+    With `count` the rows are a tally: one per value, standing for so many.
+    """
     by = list(by)
-    many = distinct_counts(numeric, by, value).filter(F.col("distinct") > bins).select(*by)
-    rows = numeric.join(many, by, "left_semi")
-    grid = quantile_grid(rows, bins, by, value)
+    known = numeric.filter(F.col(value).isNotNull())
+    distinct = known.groupBy(*by).agg(F.count("*").alias("distinct")) if count else distinct_counts(numeric, by, value)
+    rows = known.join(distinct.filter(F.col("distinct") > bins).select(*by), by, "left_semi")
+    grid = quantile_grid(rows, bins, by, value, count)
     return grid.select(*by, F.array_distinct("grid").alias("edges"))
 
 
@@ -31,27 +60,16 @@ def bin_number(edges: str, value: str, bins: int):
 
 
 def binned(frame: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Long rows (feature, bin, key, target) and the edges of the binned features.
+    """The tally with bins, (feature, bin, key, n, bads), and the edges of the binned features.
 
     A numeric column with more than `bins` values gets a bin number, any other column keeps
-    its own values as `key`; a missing value has the key `<missing>` and no bin.
+    its own values as `key`; a missing value has the key `<missing>` and no bin. The table itself is
+    read once, by the tally: distinct counts, edges and bins come from the tally.
     """
-    numeric = [n for n in features if isinstance(frame.schema[n].dataType, T.NumericType)]
-    texts = [n for n in features if n not in numeric]
-    edges = None
-    parts = []
-    if numeric:
-        long = unpivot(frame, numeric, [target])
-        edges = bin_edges(long.select("feature", "value"), bins)
-        joined = long.join(F.broadcast(edges), "feature", "left")
-        cut = F.col("edges").isNotNull() & F.col("value").isNotNull()
-        parts.append(joined.select(
-            "feature", F.when(cut, bin_number("edges", "value", bins)).alias("bin"),
-            F.when(F.col("value").isNull(), MISSING).when(~cut, F.col("value").cast("string")).alias("key"),
-            F.col(target).cast("int").alias("y")))
-    if texts:
-        long = unpivot(frame, texts, [target], "string")
-        parts.append(long.select("feature", F.lit(None).cast("int").alias("bin"),
-                                 F.coalesce("value", F.lit(MISSING)).alias("key"),
-                                 F.col(target).cast("int").alias("y")))
-    return reduce(DataFrame.unionByName, parts), edges
+    values = tally(frame, features, target)
+    edges = stage(bin_edges(values.filter(F.col("value").isNotNull()), bins, count="n"), "edges")
+    cut = F.col("edges").isNotNull() & F.col("value").isNotNull()
+    own = F.coalesce("key", F.col("value").cast("string"), F.lit(MISSING))
+    rows = values.join(edges, "feature", "left").select(
+        "feature", F.when(cut, bin_number("edges", "value", bins)).alias("bin"), F.when(~cut, own).alias("key"), "n", "bads")
+    return rows, edges

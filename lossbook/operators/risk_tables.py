@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossbook import fixed_values as V
-from lossbook.operators.binning import MISSING, binned
+from lossbook.operators.binning import MISSING, binned, usable
 
 SMOOTH = 0.5
 
@@ -18,8 +18,8 @@ def bin_counts(frame: DataFrame, features: Sequence[str], target: str = V.TARGET
     """(feature, bin, key, Count, Bads); `keep_empty` also lists empty bins and `<missing>`."""
     rows, edges = binned(frame, features, target, bins)
     counts = rows.groupBy("feature", "bin", "key").agg(
-        F.count("*").alias("Count"), F.coalesce(F.sum("y"), F.lit(0)).alias("Bads"))
-    if keep_empty and edges is not None:
+        F.sum("n").alias("Count"), F.sum("bads").alias("Bads"))
+    if keep_empty:
         zero = F.lit(0).cast("long")
         last = F.size("edges") - 2
         slots = edges.filter(last >= 0).select(
@@ -81,12 +81,21 @@ def iv_band(iv: Column) -> Column:
 
 def iv_ranking(frame: DataFrame, features: Sequence[str], target: str = V.TARGET, bins: int = 10,
                rounded: bool = True) -> DataFrame:
-    """Features by information value, best first. One grouped pass serves all columns."""
+    """Features by information value, best first. One scan of the table serves all columns.
+
+    A feature that the table lacks, or that has no levels to count (an array, map, struct or binary), is listed last
+    with a NULL value; the others are ranked all the same.
+    """
+    known = usable(frame, features)
+    lacking = frame.sparkSession.createDataFrame([(n, None) for n in features if n not in known], "feature string, IV double")
+    if not known:
+        return lacking.withColumn("band", iv_band(F.col("IV"))).orderBy("feature")
+    features = known
     if rounded:
         iv = woe_table(frame, features, target, bins).groupBy("feature").agg(F.max("IV_total").alias("IV"))
     else:
         iv = information_value(frame, features, target, bins).withColumn("IV", F.bround("IV", 4))
-    return iv.withColumn("band", iv_band(F.col("IV"))).orderBy(F.col("IV").desc_nulls_last(), "feature")
+    return iv.unionByName(lacking).withColumn("band", iv_band(F.col("IV"))).orderBy(F.col("IV").desc_nulls_last(), "feature")
 
 
 def monotone_check(frame: DataFrame, directions: Mapping[str, int] = V.RISK_DIRECTIONS,

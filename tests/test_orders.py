@@ -10,10 +10,10 @@ from lossbook.operators import metrics as ME
 from lossbook.operators import overlay as OV
 from lossbook.operators import splits as SP
 from lossbook.operators import survival as SU
-from lossbook.operators.binning import binned
+from lossbook.operators.binning import binned, tally
 from lossbook.operators.prefix import totals_before
 from lossbook.operators.ranking import average_ranks, quantile_grid, smallest_by_hash
-from lossbook.operators.risk_tables import woe_table
+from lossbook.operators.risk_tables import iv_ranking, woe_table
 from lossbook.operators.results import nearest_rank_picks
 
 RNG = np.random.default_rng(7)
@@ -181,3 +181,27 @@ def test_fills_with_constants_only(spark):
     assert sorted(map(tuple, fill_missing(df, rules, learn_fills(df, rules)).collect())) == [(1, 7.0), (2, 3.0)]
     learned = learn_fills(df, [Fill("x", "median")])
     assert fill_missing(df.drop("x"), [Fill("x", "median", flag=True)], learned).columns == ["k"]
+
+
+def test_ranking_goes_on_past_failing_columns(spark):
+    df = spark.createDataFrame([(float(i), [i], {"a": i}, "a" if i % 3 else None, int(i > 60)) for i in range(100)],
+                               "x double, l array<int>, m map<string,int>, t string, is_bad int")
+    for rounded in (True, False):
+        got = [(r.feature, r.IV is None, r.band) for r in iv_ranking(df, ["l", "x", "absent", "t", "m"], rounded=rounded).collect()]
+        assert got[0][:2] == ("x", False) and got[1][:2] == ("t", False) and got[2:] == [(n, True, "?") for n in ("absent", "l", "m")]
+    assert [(r.feature, r.IV) for r in iv_ranking(df, ["l"]).collect()] == [("l", None)]
+    assert iv_ranking(df.limit(0), ["x"]).collect() == []
+
+
+def test_one_scan_makes_the_tally(spark, tmp_path):
+    spark.range(4000).selectExpr("double(id % 37) x", "int(id % 5) z", "if(id % 7 = 0, null, string(id % 3)) t", "int(id % 2) is_bad").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    rows = tally(df, ["x", "z", "t"], "is_bad")
+    assert {(r.feature, r.c, r.s, r.b) for r in rows.groupBy("feature").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.sum("bads").alias("b")).collect()} == {
+        ("x", 37, 4000, 2000), ("z", 5, 4000, 2000), ("t", 4, 4000, 2000)}
+    counts, edges = binned(df, ["x", "z", "t"], "is_bad")
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{tmp_path}/t" not in plan and len(counts.inputFiles()) > 0 and not any("/t/" in f and str(tmp_path) in f for f in counts.inputFiles())
+    pdf = df.toPandas()
+    want = pd.cut(pdf.x, np.unique(np.quantile(pdf.x, np.linspace(0, 1, 11))), include_lowest=True, labels=False).value_counts().to_dict()
+    assert {r.bin: r.n for r in counts.filter("feature = 'x'").groupBy("bin").agg(F.sum("n").alias("n")).collect()} == want
