@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import functions as F
 
 from lossbook import fixed_values as V
@@ -340,22 +338,19 @@ def _(spark, d):
     return rates.join(shares, "IncomeRange")
 
 
-SPEARMAN = ["DebtToIncomeRatio", "BankcardUtilization", "InquiriesLast6Months", "TotalInquiries", "CurrentCreditLines",
-            "OpenCreditLines", "StatedMonthlyIncome", "stated_income_log", "CreditScoreRangeLower", "CreditScoreRangeUpper"]
-
-
-def _spearman_sql(a: str, b: str) -> str:
-    return f"""SELECT '{a}' AS a, '{b}' AS b, corr(ra, rb) AS rho FROM (
-  SELECT rank() OVER (ORDER BY {a})+(count(*) OVER (PARTITION BY {a})-1)/2.0::DOUBLE AS ra,
-         rank() OVER (ORDER BY {b})+(count(*) OVER (PARTITION BY {b})-1)/2.0::DOUBLE AS rb
-  FROM pop WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+_AT = "list_position([" + ",".join(f"'{c}'" for c in ALL_NUMERIC) + "], {}.feature)"
 
 
-@query("a22_spearman_pairs", O.features("SELECT * FROM (" + " UNION ALL ".join(
-    _spearman_sql(a, b) for a, b in combinations(SPEARMAN, 2)) + ") WHERE abs(rho)>=0.3"), {"rho": 8})
+@query("a22_spearman_pairs", O.features(f""", long AS (UNPIVOT (SELECT loan_id, {",".join(f"{c}::DOUBLE AS {c}" for c in ALL_NUMERIC)} FROM pop)
+  ON {",".join(ALL_NUMERIC)} INTO NAME feature VALUE v)
+SELECT * FROM (SELECT a, b, corr(ra, rb) AS rho FROM (
+  SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va)+(count(*) OVER (PARTITION BY a, b, va)-1)/2.0::DOUBLE AS ra,
+         rank() OVER (PARTITION BY a, b ORDER BY vb)+(count(*) OVER (PARTITION BY a, b, vb)-1)/2.0::DOUBLE AS rb
+  FROM (SELECT x.feature AS a, y.feature AS b, x.v AS va, y.v AS vb FROM long x JOIN long y
+        ON x.loan_id=y.loan_id AND {_AT.format("x")}<{_AT.format("y")}))
+  GROUP BY a, b) WHERE abs(rho)>=0.3 AND NOT isnan(rho)"""), {"rho": 8})
 def _(spark, d):
-    pairs = CO.spearman_pairs(jobs.feature_table(spark, d), "loan_id", SPEARMAN)
-    return CO.strong_pairs(pairs, 0.3)
+    return CO.strong_pairs(CO.spearman_pairs(jobs.feature_table(spark, d), "loan_id", ALL_NUMERIC), 0.3)
 
 
 @query("a23_vif")
