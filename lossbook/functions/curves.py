@@ -1,13 +1,18 @@
 """Monthly curves of one loan as array columns: hazards, survival, timing, balances.
 
-A loan's months stay in its own row, so none of these needs a shuffle.
+A loan's months stay in its own row, so none of these needs a shuffle. Running products go through Arrow
+batches of the curve alone; the rest are built-in expressions.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,26 +38,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold_curve(hazards: Column, emit: Callable[[Column, Column], Column]) -> Column:
-    """Walk the hazards once; `emit` gives the month's entry from (survival before, hazard)."""
-    start = F.struct(F.lit(1.0).alias("s"), F.array().cast("array<double>").alias("curve"))
+def by_month(curves: pa.Array, missing: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arrow lists as (values one after the other, offsets, list of each value, month of each value from 0).
+
+    A NULL list has no months; a NULL month counts as `missing`.
+    """
+    n = pc.fill_null(pc.list_value_length(curves), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(curves.flatten(), missing).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    return flat, ends, row, np.arange(len(flat)) - ends[row]
+
+
+def _running(curves: pa.Array, months_: pa.Array, marginal: bool) -> pa.Array:
+    """Running survival, or default probability by month, of a batch of hazard lists."""
+    flat, ends, row, month = by_month(curves, V.HAZARD_FLOOR)
+    h = np.fmin(np.maximum(flat, V.HAZARD_FLOOR), 1 - V.HAZARD_FLOOR)
+    alive = np.ones((max(pc.max(months_).as_py() or 0, 0), len(ends) - 1))     # month-major: one product per month
+    alive[month, row] = 1 - h
+    out = np.cumprod(alive, axis=0)[month, row]
+    if marginal:
+        out = np.where(month > 0, np.roll(out, 1), 1.0) * h
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out), mask=pc.is_null(curves))
 
-    def step(acc: Column, raw: Column) -> Column:
-        h = clip_hazard(raw)
-        return F.struct((acc["s"] * (1 - h)).alias("s"),
-                        F.concat(acc["curve"], F.array(emit(acc["s"], h))).alias("curve"))
 
-    return F.aggregate(hazards, start, step, lambda acc: acc["curve"])
+@lru_cache(maxsize=2)
+def _curve_udf(marginal: bool):
+    """A running product over an array costs its length squared, interpreted, as a fold that appends; an Arrow batch costs its length."""
+    def curve(hazards: pa.Array, months_: pa.Array) -> pa.Array:
+        return _running(hazards, months_, marginal)
+
+    function = F.arrow_udf(curve, "array<double>")
+    # a column that is named twice stays a column of its own, whatever expression it stands for
+    return lambda hazards: function(hazards.cast("array<double>"), F.size(hazards))
 
 
 def survival_curve(hazards: Column) -> Column:
-    """S(t) after each month, from an array of monthly hazards."""
-    return _fold_curve(hazards, lambda s, h: s * (1 - h))
+    """S(t) after each month, from an array of monthly hazards. NULL for NULL; a NULL hazard counts as the smallest.
+
+    Spark does not plan fields of a lambda's variable inside the argument; make such hazards a column first.
+    """
+    return _curve_udf(False)(hazards)
 
 
 def marginal_curve(hazards: Column) -> Column:
     """Default probability per month: S(t-1) * h(t). Sums to the lifetime probability."""
-    return _fold_curve(hazards, lambda s, h: s * h)
+    return _curve_udf(True)(hazards)
 
 
 def lifetime_pd(hazards: Column) -> Column:
@@ -81,7 +112,7 @@ def timing_bin(month: Column, term: Column, bins: int) -> Column:
 
 def _with_mass(curve: Column, body: Callable[[Column, Column], Column]) -> Column:
     """`body(curve, sum of curve)` with both evaluated once."""
-    return let(curve, lambda c: let(F.struct(c.alias("c"), total(c).alias("mass")), lambda x: body(x["c"], x["mass"])))
+    return let(curve, lambda c: let(total(c), lambda mass: body(c, mass)))
 
 
 def timing_weights(term: Column, density: Column, bins: int) -> Column:

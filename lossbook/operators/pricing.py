@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +75,7 @@ def project(loans: DataFrame, amount: Column, apr: Column, term: Column, margina
 
 
 def _apr_solver(economics: Economics):
-    """Vectorized bisection over Arrow batches: break-even and target rate per loan.
+    """Vectorized bisection over Arrow batches of (curve, loss): break-even and target rate per loan.
 
     Profit per unit of amount at monthly rate c, with g = 1 + c and phi the monthly cost rate, is
     [(c-phi)(P_S(g)-sum(S)/g) - lgd(P_m(g)-sum(m)/g)] / (g^n-1), P_v a polynomial in g whose
@@ -84,50 +85,57 @@ def _apr_solver(economics: Economics):
     phi = (economics.funding_rate + economics.servicing_rate) / 12
     hurdle = economics.target_raroc * economics.capital_ratio
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            marginal, lgd = rows.pop("_curve"), rows.pop("_loss")
-            n = np.fromiter((len(c) for c in marginal), dtype=np.int64, count=len(marginal))
-            k = int(n.max()) if len(n) else 0
-            m, s = np.zeros((k, len(n))), np.zeros((k, len(n)))   # month-major, padded in front
-            for i, curve in enumerate(marginal):
-                mass = np.asarray(curve, dtype=float)
-                m[k - n[i]:, i] = mass
-                s[k - n[i]:, i] = 1.0 - np.concatenate(([0.0], np.cumsum(mass)[:-1]))
-            loss, m_sum, s_sum = lgd.to_numpy(dtype=float), m.sum(axis=0), s.sum(axis=0)
-
-            def unit_profit(c: np.ndarray) -> np.ndarray:
-                g = 1.0 + c
-                pm, ps = np.zeros_like(g), np.zeros_like(g)
-                for j in range(k):
-                    pm = pm * g + m[j]
-                    ps = ps * g + s[j]
-                value = (c - phi) * (ps - s_sum / g) - loss * (pm - m_sum / g)
-                return np.where(c <= C.NO_RATE, -np.inf, value / np.expm1(n * np.log1p(c)))
-
-            for name, goal in (("breakeven_apr", 0.0 * n), ("target_raroc_apr", hurdle * n / 12)):
-                lo, hi = np.zeros(len(n)), np.full(len(n), V.APR_CEILING)
-                for _ in range(V.BISECTION_ROUNDS):
-                    mid = (lo + hi) / 2
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        low = unit_profit(mid / 12) < goal
-                    lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-                rows[name] = (lo + hi) / 2
-            yield rows
-
-    return solve
+    def solve(marginal: pa.Array, lgd: pa.Array) -> list[pa.Array]:
+        flat, ends, row, month = C.by_month(marginal, 0.0)
+        n = np.diff(ends)
+        k = int(n.max(initial=0))
+        m, s = np.zeros((k, len(n))), np.zeros((k, len(n)))       # month-major, padded in front
+        at = month + k - n[row]
+        m[at, row] = flat
+        s[at, row] = 1.0 - (np.cumsum(m, axis=0)[at, row] - flat)
+        loss = lgd.to_numpy(zero_copy_only=False).astype(float)
+        m_sum, s_sum = m.sum(axis=0), s.sum(axis=0)
+
+        def unit_profit(c: np.ndarray) -> np.ndarray:
+            g = 1.0 + c
+            pm, ps = np.zeros_like(g), np.zeros_like(g)
+            for j in range(k):
+                pm = pm * g + m[j]
+                ps = ps * g + s[j]
+            value = (c - phi) * (ps - s_sum / g) - loss * (pm - m_sum / g)
+            return np.where(c <= C.NO_RATE, -np.inf, value / np.expm1(n * np.log1p(c)))
+
+        lacking = pc.or_(pc.is_null(marginal), pc.is_null(lgd)).to_numpy(zero_copy_only=False)
+        rates = []
+        for goal in (0.0 * n, hurdle * n / 12):
+            lo, hi = np.zeros(len(n)), np.full(len(n), V.APR_CEILING)
+            for _ in range(V.BISECTION_ROUNDS):
+                mid = (lo + hi) / 2
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    low = unit_profit(mid / 12) < goal
+                lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+            rates.append(pa.array((lo + hi) / 2, mask=lacking))
+        return rates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, curve, loss = batch.columns
+            yield pa.RecordBatch.from_arrays([*kept, *solve(curve, loss)], names=[*batch.schema.names[:-2], "breakeven_apr", "target_raroc_apr"])
+
+    return run
 
 
 def price(loans: DataFrame, term: Column, marginal: Column, lgd: Column,
           economics: Economics = Economics()) -> DataFrame:
     """Break-even APR and the APR that earns the target return, per loan.
 
-    Profit is proportional to the amount, so the rate does not depend on it.
+    Profit is proportional to the amount, so the rate does not depend on it. Other columns pass through as the Arrow
+    columns they are. Without a curve or a loss both rates are NULL; a NULL month has no default mass.
     """
-    rows = loans.withColumn("_curve", C.conform(marginal, term)).withColumn("_loss", lgd.cast("double"))
+    rows = loans.withColumn("_curve", C.conform(marginal, term).cast("array<double>")).withColumn("_loss", lgd.cast("double"))
     schema = T.StructType([*loans.schema.fields, T.StructField("breakeven_apr", T.DoubleType()),
                            T.StructField("target_raroc_apr", T.DoubleType())])
-    return rows.mapInPandas(_apr_solver(economics), schema)
+    return rows.mapInArrow(_apr_solver(economics), schema)
 
 
 def expected_loss(pd_: Column, lgd: Column, ead: Column) -> Column:

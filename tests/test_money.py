@@ -93,3 +93,40 @@ def test_imputation(spark):
     assert got == [("a", 2.0, None, 1), ("a", 3.0, 1.0, 1)]
     with pytest.raises(KeyError):
         PR.learn_fills(train, [PR.Fill("nope", "median")])
+
+
+def test_curves_equal_the_loop(spark):
+    curves = [[0.01, 0.2, 0.05], [], None, [0.0], [1.0, 0.5], [None, 0.1, float("nan")], [0.003] * 360]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(curves)], "i long, h array<double>").repartition(3)
+    got = {r.i: (r.s, r.m) for r in df.select("i", C.survival_curve(F.col("h")).alias("s"), C.marginal_curve(F.col("h")).alias("m")).collect()}
+    for i, curve in enumerate(curves):
+        if curve is None:
+            assert got[i] == (None, None)
+            continue
+        alive, s, m = 1.0, [], []
+        for h in curve:
+            h = 1e-6 if h is None else 1 - 1e-6 if math.isnan(h) else min(max(h, 1e-6), 1 - 1e-6)
+            m.append(alive * h)
+            alive *= 1 - h
+            s.append(alive)
+        assert got[i] == (s, m)
+
+
+def test_price_keeps_columns_and_nulls(spark):
+    marg = [0.001 * (k + 1) for k in range(24)]
+    rows = [(1, 24, marg, 0.5, "x"), (2, 12, marg[:12], 0.9, None), (3, 24, None, 0.5, "x"), (4, 24, marg, None, "x"), (5, 24, [None, *marg[1:]], 0.5, "x")]
+    df = spark.createDataFrame(rows, "id long, n long, m array<double>, l double, breakeven_text string")
+    out = PX.price(df, F.col("n"), F.col("m"), F.col("l"))
+    got = {r.id: r for r in out.collect()}
+    assert [got[i].breakeven_apr is None for i in range(1, 6)] == [False, False, True, True, False] and got[2].breakeven_text is None
+    for i, n, m, lgd in ((1, 24, marg, 0.5), (2, 12, marg[:12], 0.9), (5, 24, [0.0, *marg[1:]], 0.5)):
+        assert loop(1000.0, got[i].breakeven_apr, n, m, lgd)["profit"] == pytest.approx(0.0, abs=1e-6)
+
+
+def test_curves_of_hazards_with_fields_of_a_bound_struct(spark):
+    bound = C.let(F.struct((F.col("id") / 100).alias("p"), F.lit(4).alias("n")), lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda k: x["p"] / k))
+    df = spark.range(1, 4).withColumn("h", bound).withColumn("m", C.marginal_curve(F.col("h")))
+    out = PX.price(df.select("id", "m"), F.lit(4), F.col("m"), F.lit(0.6))
+    for r in out.collect():
+        p = r.id / 100
+        assert r.m[:2] == pytest.approx([p, (1 - p) * p / 2]) and 0 < r.breakeven_apr < 0.6
