@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lossbook.operators.ranking import distinct_counts, quantile_grid
+from lossbook.operators.ranking import quantile_grid
 from lossbook.session import stage
 
 MISSING = "<missing>"
@@ -24,30 +24,36 @@ def usable(frame: DataFrame, features: Sequence[str]) -> list[str]:
 def tally(frame: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(feature, value, key, n, bads): one row per distinct value of each column, written once.
 
-    Numbers stand in `value`, NULL where missing; other values in `key`, `<missing>` where missing. All columns are
-    laid out by one scan and combined before the shuffle; `bads` sums the target.
+    Numbers stand in `value`, NULL where missing; other values in `key`, `<missing>` where missing. Numbers are laid out by one
+    scan and other columns by another, each as plain values, and combined before the shuffle; `bads` sums the target.
     """
-    def cell(n: str) -> Column:
-        number = isinstance(frame.schema[n].dataType, T.NumericType)
-        value = F.col(f"`{n}`").cast("double") if number else F.lit(None).cast("double")
-        key = F.lit(None).cast("string") if number else F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(MISSING))
-        return F.struct(value.alias("value"), key.alias("key")).alias(n)
+    def tallied(names: Sequence[str], numeric: bool) -> DataFrame:
+        cells = [F.col(f"`{n}`").cast("double") if numeric else F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(MISSING)) for n in names]
+        long = frame.select(F.col(target).cast("int").alias("_y"), *[c.alias(n) for c, n in zip(cells, names)]).unpivot(
+            ["_y"], list(names), "feature", "_cell")
+        value, key = (F.col("_cell"), F.lit(None).cast("string")) if numeric else (F.lit(None).cast("double"), F.col("_cell"))
+        return long.groupBy("feature", "_cell").agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("bads")).select(
+            "feature", value.alias("value"), key.alias("key"), "n", "bads")
 
-    cells = frame.select(F.col(target).cast("int").alias("_y"), *[cell(n) for n in features])
-    long = cells.unpivot(["_y"], list(features), "feature", "_cell")
-    return stage(long.groupBy("feature", F.col("_cell.value").alias("value"), F.col("_cell.key").alias("key")).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("bads")), "tally")
+    numbers = [n for n in features if isinstance(frame.schema[n].dataType, T.NumericType)]
+    others = [n for n in features if n not in numbers]
+    parts = [tallied(names, numeric) for names, numeric in ((numbers, True), (others, False)) if names]
+    return stage(reduce(DataFrame.unionByName, parts), "tally")
 
 
 def bin_edges(numeric: DataFrame, bins: int, by: Sequence[str] = ("feature",), value: str = "value", count: str | None = None) -> DataFrame:
     """(by, edges) of the groups with more than `bins` distinct values; duplicate edges dropped.
 
-    With `count` the rows are a tally: one per value, standing for so many.
+    With `count` the rows are a tally: one per value, standing for so many; other rows are tallied first. The tally and the
+    groups to cut are stage tables: the steps that follow read them again, and the few groups are sent to the rows.
     """
     by = list(by)
     known = numeric.filter(F.col(value).isNotNull())
-    distinct = known.groupBy(*by).agg(F.count("*").alias("distinct")) if count else distinct_counts(numeric, by, value)
-    rows = known.join(distinct.filter(F.col("distinct") > bins).select(*by), by, "left_semi")
+    if not count:
+        count = "_times"
+        known = stage(known.groupBy(*by, value).agg(F.count("*").alias(count)), "values")
+    distinct = known.groupBy(*by).agg(F.count("*").alias("distinct"))
+    rows = known.join(stage(distinct.filter(F.col("distinct") > bins).select(*by), "cut-groups"), by, "left_semi")
     grid = quantile_grid(rows, bins, by, value, count)
     return grid.select(*by, F.array_distinct("grid").alias("edges"))
 
