@@ -1,6 +1,9 @@
 """The partitions that model fits read."""
 
-from lossbook.session import packed, stage
+from pyspark.sql import functions as F
+
+from lossbook.operators import models as MO
+from lossbook.session import kept, packed, stage
 
 
 def test_narrow_tables_are_dealt_out_for_fits(spark):
@@ -9,3 +12,26 @@ def test_narrow_tables_are_dealt_out_for_fits(spark):
     assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) <= 200
     assert packed(narrow, 10, 50).rdd.getNumPartitions() == 48 and packed(narrow, 10, 15).rdd.getNumPartitions() == 67
     assert packed(narrow).rdd.getNumPartitions() == 1 and packed(stage(spark.range(1000, numPartitions=4), "four"), 500).count() == 1000
+
+
+def test_rows_of_a_fit_are_dealt_out_once(spark):
+    dealt = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        dealt.add(1)
+        return x
+
+    rows = packed(stage(spark.range(300, numPartitions=1).select((F.col("id") % 2).cast("int").alias("is_bad"), "id"), "rows"), 100)
+    with kept(rows.select("is_bad", seen("id").alias("id"))) as held:
+        assert [held.filter("is_bad = 1").count(), held.count(), held.agg(F.sum("id")).first()[0]] == [150, 300, 44850]
+        assert held.storageLevel.useMemory and held.storageLevel.useDisk
+    assert dealt.value == 300 and not held.storageLevel.useMemory
+
+
+def test_a_fit_keeps_its_rows_and_lets_them_go(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(MO, "_isotonic", lambda scored: held.append(spark._jsparkSession.sharedState().cacheManager().isEmpty()))
+    rows = spark.range(120).select(F.col("id").alias("loan_id"), (F.col("id") % 2).cast("int").alias("is_bad"), (F.col("id") % 7).cast("double").alias("Term"))
+    MO.fit_pd(rows, ["Term"], "logistic")
+    assert held == [False] and spark._jsparkSession.sharedState().cacheManager().isEmpty()
