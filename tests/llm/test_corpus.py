@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import public_tokenizers
 from check_oracles import compare, connect
-from lossbook.llm import components, decontam, dedup, html, langid, lm, mixing, neighbours, quality, tokenfile, toxicity
+from lossbook.llm import components, decontam, dedup, html, langid, lm, mixing, neighbours, quality, tokenfile, toxicity, vocab
 from lossbook.llm.queries import ORACLES, QUERIES
 from lossbook.llm.text import encode_words, split_words
 from lossbook.llm.vocab import WordEncoder, gather
@@ -209,6 +209,30 @@ def test_words_encode_like_whole_texts():
         assert whole.encode(t, add_special_tokens=False).ids == out[run[i]:run[i + 1]].tolist()
 
 
+def test_words_are_encoded_in_blocks_and_remembered(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+    whole, real, calls = Tokenizer.from_file(path), vocab.tokenizer(path), []
+
+    class Counted:
+        def encode_batch_fast(self, words, **kw):
+            calls.append(list(words))
+            return real.encode_batch_fast(words, **kw)
+
+    monkeypatch.setattr(vocab, "tokenizer", lambda _: Counted())
+    monkeypatch.setattr(vocab, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(vocab, "KNOWN_WORDS", 40)
+    encoder, rng = WordEncoder(path), random.Random(8)
+    words = [f"wort{i}" for i in range(30)] + ["é!", "...", "x'll", "Z"]
+    for _ in range(6):
+        some = rng.sample(words, 25) + [f"once{rng.random()}", ""]
+        lengths, ids = encoder(pa.array(some))
+        assert np.split(ids, np.cumsum(lengths)[:-1])[0].tolist() == whole.encode(some[0], add_special_tokens=False).ids
+        assert ids.tolist() == [x for w in some for x in whole.encode(w, add_special_tokens=False).ids]
+    asked = [w for block in calls for w in block]
+    assert max(map(len, calls)) <= 7 and len(asked) == len(set(asked))
+
+
 def test_token_files_round_trip(edges, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
