@@ -35,3 +35,36 @@ def test_a_fit_keeps_its_rows_and_lets_them_go(spark, monkeypatch):
     rows = spark.range(120).select(F.col("id").alias("loan_id"), (F.col("id") % 2).cast("int").alias("is_bad"), (F.col("id") % 7).cast("double").alias("Term"))
     MO.fit_pd(rows, ["Term"], "logistic")
     assert held == [False] and spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_fits_side_by_side_share_the_rows_they_keep(spark):
+    staged = stage(spark.range(200), "shared")
+    one, two, other = (packed(staged.select("id", *more), 50) for more in ([], [], [F.lit(1).alias("x")]))
+    with kept(one):
+        with kept(two), kept(other):
+            assert one.count() == two.count() == 200
+        assert one.storageLevel.useMemory and two.storageLevel.useMemory and not other.storageLevel.useMemory
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def _loans(spark):
+    return spark.range(240).select(F.col("id").alias("loan_id"), (F.col("id") % 3 == 0).cast("int").alias("is_bad"), (F.col("id") * 7 % 11).cast("double").alias("Term"))
+
+
+def test_a_search_keeps_its_rows_and_lets_them_go(spark, monkeypatch):
+    held, real = [], MO.pd_estimator
+    monkeypatch.setattr(MO, "pd_estimator", lambda *a: held.append(spark._jsparkSession.sharedState().cacheManager().isEmpty()) or real(*a))
+    MO.search_pd(_loans(spark), ["Term"], "logistic", [{"regParam": 0.1}, {"regParam": 0.2}], (0.5, 1.0), 0.5, folds=2)
+    assert held == [False] * 6 and spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_models_of_the_same_rows_share_one_cut(spark, monkeypatch):
+    rows = _loans(spark)
+    cut, folds = stage(MO.calibration_cut(rows), "cut"), stage(MO.fold_cut(rows, 2), "folds")
+    scores = lambda model: sorted((r.loan_id, r.raw_score, r.pd) for r in model.transform(rows).collect())      # noqa: E731
+    alone = scores(MO.fit_pd(rows, ["Term"], "forest", {"numTrees": 3}))
+    found = MO.search_pd(rows, ["Term"], "logistic", [{"regParam": 0.1}], (1.0,), folds=2)[:2]
+    monkeypatch.setattr(MO, "stratified_split", None)          # neither is cut again
+    monkeypatch.setattr(MO, "stratified_folds", None)
+    assert scores(MO.fit_pd(rows, ["Term"], "forest", {"numTrees": 3}, cut)) == alone
+    assert MO.search_pd(rows, ["Term"], "logistic", [{"regParam": 0.1}], (1.0,), folds=2, cut=folds)[:2] == found
