@@ -1,11 +1,18 @@
 """The partitions that model fits read."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lossbook.operators import models as MO
 from lossbook.session import kept, packed, stage
 
 
+@pytest.fixture(autouse=True)
+def nothing_kept(spark):
+    """Other modules cache rows of their own in the session that all tests share."""
+    spark.catalog.clearCache()
+
+
 def test_narrow_tables_are_dealt_out_for_fits(spark):
     narrow = stage(spark.range(1000, numPartitions=1), "narrow")
     sizes = [len(p) for p in packed(narrow, 100).rdd.glom().collect()]
