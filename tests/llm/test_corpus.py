@@ -233,6 +233,26 @@ def test_words_are_encoded_in_blocks_and_remembered(monkeypatch):
     assert max(map(len, calls)) <= 7 and len(asked) == len(set(asked))
 
 
+def test_words_of_letters_are_encoded_together(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+    whole, real, texts = Tokenizer.from_file(path), vocab.tokenizer(path), []
+
+    class Counted:
+        def encode_batch_fast(self, words, **kw):
+            texts.extend(words)
+            return real.encode_batch_fast(words, **kw)
+
+    monkeypatch.setattr(vocab, "tokenizer", lambda _: Counted())
+    rng = random.Random(6)
+    same = lambda words: [x for w in words for x in whole.encode(w, add_special_tokens=False).ids] == WordEncoder(path)(pa.array(words, pa.string()))[1].tolist()
+    assert same(["".join(rng.choice("abcdefÉñßж") for _ in range(1 + i % 9)) + rng.choice(["", ".", "!!", "$$$"]) for i in range(900)])
+    assert len(texts) < 20
+    signs = [*"aBéİŉſΣς'.,!-<|>/_09²五中한ा́ﬁª💡ŁЖ", "e\u0301", "'s", "'re", "</w>", "<|endoftext|>"]
+    assert same(["".join(rng.choice(signs) for _ in range(1 + i % 7)) for i in range(3000)])
+    assert same(["abc", "aİb", "def"]) and same([])                                  # a word of letters that is several pieces
+
+
 def test_token_files_round_trip(edges, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
