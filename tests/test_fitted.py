@@ -90,3 +90,15 @@ def test_a_stream_scores_like_a_table(spark):
     rows = entry.queries()["r1_fitted_stream"](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and all(r.same_as_batch for r in rows)
     assert {r.batch for r in rows} == {0, 1, 2} and all(0 <= r.pd <= 1 and 0 <= r.lgd <= 1 and r.ead >= 0 for r in rows)
+
+
+def test_defaults_are_looked_up_once(spark):
+    from lossbook.plans.scoring import fill_defaults
+    rows = spark.createDataFrame([(1, None, "x"), (2, 3.0, None), (None, None, None), (2, 3.0, None)], "loan_id long, a double, t string")
+    defaults = spark.createDataFrame([("a", 7.0, None), ("b", 8.0, None), ("t", None, "y"), ("u", None, "z"), (None, 1.0, "w")], "feature string, number double, text string")
+    out = fill_defaults(rows, defaults, ["a", "b", "c"], ["t", "u"])
+    got = sorted(map(tuple, out.select("loan_id", "a", "b", "c", "t", "u").collect()), key=str)
+    assert got == [(1, 7.0, 8.0, None, "x", "z"), (2, 3.0, 8.0, None, "y", "z"), (2, 3.0, 8.0, None, "y", "z"), (None, 7.0, 8.0, None, "y", "z")]
+    assert fill_defaults(rows, defaults.limit(0), ["a"], ["u"]).filter("u is null").count() == 4
+    assert fill_defaults(rows, defaults, [], []).count() == 4
+    assert "subquery" not in out._jdf.queryExecution().toString().lower()          # one for each name would make the plan grow with its square
