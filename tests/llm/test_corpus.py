@@ -475,6 +475,16 @@ def test_training_has_no_most_steps(monkeypatch):
     assert sum(seen) == 24 * 230_000
 
 
+def test_passes_do_not_fall_with_the_corpus(spark, monkeypatch):
+    coded = spark.createDataFrame([(b, b, b % 3, [2, 3, lm.END], 3, 0.0) for b in range(6)], "batch long, doc_id long, turn int, codes array<short>, n_tokens long, base_score double")
+    seen, real = [], lm._pairs
+    monkeypatch.setattr(lm, "_round", lambda part, model, passes, span: seen.append((part.count(), passes)) or model)
+    for windows in (6, 10**9):
+        monkeypatch.setattr(lm, "_pairs", lambda docs: (real(docs)[0], windows))
+        lm.fit(coded, np.ones(lm.CODES), 6, 2)
+    assert seen == [(2, 10)] * 6
+
+
 def test_scores_of_nothing(nothing):
     assert lm.score(nothing, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
