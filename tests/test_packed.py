@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lossbook.operators import models as MO
-from lossbook.session import kept, packed, stage
+from lossbook.session import Shared, kept, packed, side_by_side, stage
 
 
 @pytest.fixture(autouse=True)
@@ -75,3 +75,40 @@ def test_models_of_the_same_rows_share_one_cut(spark, monkeypatch):
     monkeypatch.setattr(MO, "stratified_folds", None)
     assert scores(MO.fit_pd(rows, ["Term"], "forest", {"numTrees": 3}, cut)) == alone
     assert MO.search_pd(rows, ["Term"], "logistic", [{"regParam": 0.1}], (1.0,), folds=2, cut=folds)[:2] == found
+
+
+def test_encoded_rows_of_a_search_are_not_written(spark, monkeypatch):
+    written, real = [], MO.stage
+    monkeypatch.setattr(MO, "stage", lambda df, name: written.append(df.columns) or real(df, name))
+    MO.search_pd(_loans(spark), ["Term"], "logistic", [{"regParam": 0.1}, {"regParam": 0.2}], (0.5, 1.0), 0.5, folds=2)
+    assert [c for c in written if "features" in c] == [] and spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_encoders_are_fitted_once_for_models_of_the_same_columns(spark, monkeypatch):
+    rows, made, real = _loans(spark), [], MO.encoder
+    cut, folds, shared = stage(MO.calibration_cut(rows), "cut"), stage(MO.fold_cut(rows, 2), "folds"), Shared()
+    monkeypatch.setattr(MO, "encoder", lambda columns, scale=False: made.append(scale) or real(columns, scale))
+
+    def cell(family, params):
+        found = MO.search_pd(rows, ["Term"], family, [params], (1.0,), at_once=2, folds=2, cut=folds, shared=shared)
+        return found[:2], sorted((r.loan_id, r.pd) for r in MO.fit_pd(rows, ["Term"], family, params, cut, shared).transform(rows).collect())
+
+    cells = [("forest", {"numTrees": 3}), ("boosted_shallow", {"maxIter": 2}), ("boosted_deep", {"maxIter": 2})]
+    together = side_by_side([lambda c=c: cell(*c) for c in cells])
+    assert made == [False] * 3 and spark._jsparkSession.sharedState().cacheManager().isEmpty()          # two folds and the final fit, not nine
+    alone = MO.fit_pd(rows, ["Term"], "forest", {"numTrees": 3}, cut)
+    assert together[0][1] == sorted((r.loan_id, r.pd) for r in alone.transform(rows).collect())
+
+
+def test_what_fails_to_be_made_is_made_by_the_next():
+    shared, tries = Shared(), []
+
+    def make():
+        tries.append(1)
+        if len(tries) == 1:
+            raise ValueError("once")
+        return 7
+
+    with pytest.raises(ValueError):
+        shared.get("k", make)
+    assert side_by_side([lambda: shared.get("k", make)] * 4) == [7] * 4 and len(tries) == 2
