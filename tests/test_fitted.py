@@ -102,3 +102,20 @@ def test_defaults_are_looked_up_once(spark):
     assert fill_defaults(rows, defaults.limit(0), ["a"], ["u"]).filter("u is null").count() == 4
     assert fill_defaults(rows, defaults, [], []).count() == 4
     assert "subquery" not in out._jdf.queryExecution().toString().lower()          # one for each name would make the plan grow with its square
+
+
+def test_hazards_of_arrays_equal_those_of_rows(spark):
+    from lossbook.operators import panel as PA
+    rng = np.random.default_rng(5)
+    loans = spark.createDataFrame([(i % 110, float(rng.integers(500, 9000)) if i % 9 else None, ["Employed", "Retired", None][i % 3], [12, 36, 60, 1][i % 4], int(rng.random() < 0.6))
+                                   for i in range(120)], "loan_id long, StatedMonthlyIncome double, EmploymentStatus string, Term long, bad int")
+    months = PA.expand(loans, "Term").withColumn("event", ((F.col("t") * 7 + F.col("loan_id")) % 5 < F.col("bad")).cast("int"))
+    columns = ["StatedMonthlyIncome", "EmploymentStatus", "Term"]
+    model = MO.fit_hazard(months.filter("loan_id % 2 = 0"), months, columns, "event")
+    odd = loans.unionByName(spark.createDataFrame([(None, 1.0, "new", 36, 0), (7, None, None, None, 1)], loans.schema)).repartition(3)
+    want = sorted((str(r.loan_id), str(r.StatedMonthlyIncome), r.bad, r.Term, r.t, round(r.pd, 10)) for r in model.transform(PA.expand(odd, "Term")).collect())
+    got = MO.monthly_rates(model, odd, "Term", "h", loans_at_once=7)
+    assert got.columns == [*odd.columns, "h"] and len({h for *_, h in want}) > 5
+    assert sorted((str(r.loan_id), str(r.StatedMonthlyIncome), r.bad, r.Term, t, round(h, 10)) for r in got.collect() for t, h in enumerate(r.h, 1)) == want
+    plan = got._jdf.queryExecution().toString().lower()
+    assert "generate" not in plan and MO.monthly_rates(model, odd.limit(0), "Term", "h").count() == 0       # no row for each month
